@@ -15,7 +15,7 @@ from loomgraph.llm.common import stored
 from loomgraph.llm.queries import MIX_SEED, tokenizer_path
 
 #: How far the mixing stage draws the sources', languages' and topics' shares towards each other (1: not at all).
-TEMPER = 0.95
+TEMPER = 0.98
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
