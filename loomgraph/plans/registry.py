@@ -1,4 +1,470 @@
-"""All queries of the engine and the SQL that each is held against."""
+"""All queries of the engine over the tables at hand, and the SQL that each is held against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text as fx
+from loomgraph.operators import chronology, evidence, graph, incremental, measures, resolve, views
+from loomgraph.sources import adapters
+from loomgraph.sources.adapters import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+PROGRESS, QUERY, LIMIT = 3, "th", 60
+TOKEN_CHARS = 4
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.story_events(table(spark, sf, "events"))
+
+
+EVENTS = """ev AS (SELECT event_id, user_id AS subject, ts, event_type AS kind, value,
+  CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type END AS place, CAST(json_extract(props, '$.k') AS BIGINT) AS target FROM events)"""
+
+
+# Evidence
+
+
+@query("SELECT d.doc_id, b.item_id, CAST(instr(d.text, trim(b.text)) - 1 AS BIGINT) AS quote_start, CAST(instr(d.text, trim(b.text)) - 1 + length(trim(b.text)) AS BIGINT) AS quote_end FROM documents d JOIN benchmark b ON instr(d.text, trim(b.text)) > 0")
+def evidence_locate(spark, sf):
+    return evidence.locate(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("flat_start")
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), b AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS q FROM benchmark)
+SELECT doc_id, item_id, CAST(instr(t, q) - 1 AS BIGINT) AS flat_start FROM d JOIN b ON instr(t, q) > 0""")
+def evidence_locate_ws(spark, sf):
+    quotes = table(spark, sf, "benchmark").withColumn("text", F.regexp_replace("text", " ", " \n"))
+    return evidence.locate(table(spark, sf, "documents"), quotes, spaces=False).select("doc_id", "item_id", "flat_start")
+
+
+@query("""WITH h AS (SELECT b.item_id, count(*) AS links FROM documents d JOIN benchmark b ON instr(d.text, trim(b.text)) > 0 GROUP BY 1)
+SELECT count(*) AS n_quotes, count(links) AS n_located, round(100.0 * count(links) / count(*), 2) AS coverage_pct, CAST(coalesce(sum(links), 0) AS BIGINT) AS n_links FROM benchmark LEFT JOIN h USING (item_id)""")
+def evidence_coverage(spark, sf):
+    quotes = table(spark, sf, "benchmark")
+    return evidence.coverage(quotes, evidence.locate(table(spark, sf, "documents"), quotes))
+
+
+@query("SELECT b.item_id, CAST(min(d.doc_id) AS BIGINT) AS first_segment, count(*) AS n_evidence FROM documents d JOIN benchmark b ON instr(d.text, trim(b.text)) > 0 GROUP BY 1")
+def reanchor_min(spark, sf):
+    return incremental.reanchor(evidence.locate(table(spark, sf, "documents"), table(spark, sf, "benchmark")), "item_id", "doc_id")
+
+
+@query("""WITH n AS (SELECT DISTINCT regexp_extract(text, '^[^ ]+') AS name FROM benchmark), m AS (
+  SELECT name, CAST((length(text) - length(replace(text, name, ''))) / length(name) AS BIGINT) AS k FROM documents, n WHERE length(name) > 0)
+SELECT name, count(*) FILTER (WHERE k > 0) AS n_segments, CAST(sum(k) AS BIGINT) AS n_mentions FROM m GROUP BY 1""")
+def dictionary_mentions(spark, sf):
+    return evidence.mentions(table(spark, sf, "documents"), table(spark, sf, "benchmark").select(F.regexp_extract("text", "^[^ ]+", 0).alias("name")))
+
+
+# Sources
+
+
+@query("""WITH s AS (SELECT doc_id AS book_id, unnest(range(0, len(string_split(text, chr(10))))) AS ordinal, unnest(string_split(text, chr(10))) AS text FROM documents)
+SELECT book_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(length(text) AS BIGINT) AS n_chars, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY book_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM s""")
+def segments_split(spark, sf):
+    return adapters.segments(table(spark, sf, "documents")).select("book_id", "ordinal", F.length("text").cast("long").alias("n_chars"), "char_start")
+
+
+@query("""WITH s AS (SELECT doc_id AS book_id, unnest(range(0, len(string_split(text, chr(10))))) AS ordinal, unnest(string_split(text, chr(10))) AS text FROM documents)
+SELECT book_id, CAST(ordinal AS BIGINT) AS ordinal, 'seg-' || ordinal || '-' || substr(sha256(text), 1, 12) AS anchor FROM s""")
+def segment_anchor(spark, sf):
+    return adapters.anchored(adapters.segments(table(spark, sf, "documents"))).select("book_id", "ordinal", "anchor")
+
+
+@query("SELECT doc_id, sha256(text) AS source_hash, CAST(min(doc_id) OVER (PARTITION BY sha256(text)) AS BIGINT) AS canonical_id, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS is_duplicate FROM documents")
+def import_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("source_hash"))
+    first = docs.groupBy("source_hash").agg(F.min("doc_id").alias("canonical_id"))
+    return docs.join(first, "source_hash").withColumn("is_duplicate", F.col("doc_id") != F.col("canonical_id"))
+
+
+@query(r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) AS title,
+  trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages)
+SELECT page_id, title, CAST(length(body) AS BIGINT) AS n_chars, sha256(body) AS text_hash FROM t""")
+def html_visible_text(spark, sf):
+    html = F.col("html")
+    title = F.trim(F.regexp_replace(F.regexp_extract(html, "(?s)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", ""))
+    body = F.regexp_replace(F.regexp_replace(html, "(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]+>", " ")
+    body = F.trim(F.regexp_replace(body, r"[ \t\r\n]+", " "))
+    return table(spark, sf, "pages").select("page_id", title.alias("title"), body.alias("b")).select("page_id", "title", F.length("b").cast("long").alias("n_chars"), F.sha2("b", 256).alias("text_hash"))
+
+
+# Views
+
+
+@query(f"SELECT conv_id, count(*) AS n_visible, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations WHERE turn <= {PROGRESS} GROUP BY 1")
+def spoiler_view(spark, sf):
+    rows = views.visible(table(spark, sf, "conversations"), PROGRESS, "turn")
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_visible"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, count(*) AS segment_count FROM conversations GROUP BY 1)
+SELECT conv_id, count(*) AS n_segments, count(DISTINCT role) AS n_roles, count(*) FILTER (WHERE role = 'user') AS n_user, CAST(max(length(text)) AS BIGINT) AS longest FROM conversations JOIN c USING (conv_id) WHERE turn <= least({PROGRESS}, greatest(0, segment_count - 1)) GROUP BY 1""")
+def overview_counts(spark, sf):
+    rows = table(spark, sf, "conversations")
+    counts = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("segment_count"))
+    seen = views.visible(rows, PROGRESS, "turn", "conv_id", counts)
+    return seen.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("role").alias("n_roles"), F.count_if(F.col("role") == "user").alias("n_user"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+def _snippet(col: str) -> str:
+    return f"substr({col}, CAST(greatest(instr(lower({col}), '{QUERY}') - 50, 1) AS BIGINT), {140 + len(QUERY)})"
+
+
+@query(f"""WITH a AS (SELECT 0 AS source_rank, 'part' AS source, CAST(p_partkey AS BIGINT) AS id, {_snippet("p_name")} AS snippet FROM part WHERE p_name ILIKE '%{QUERY}%' ORDER BY id LIMIT {LIMIT}),
+b AS (SELECT 1 AS source_rank, 'nation' AS source, CAST(n_nationkey AS BIGINT) AS id, {_snippet("n_name")} AS snippet FROM nation WHERE n_name ILIKE '%{QUERY}%' ORDER BY id LIMIT {LIMIT}),
+c AS (SELECT 2 AS source_rank, 'documents' AS source, CAST(doc_id AS BIGINT) AS id, {_snippet("text")} AS snippet FROM documents WHERE text ILIKE '%{QUERY}%' ORDER BY id LIMIT {LIMIT})
+SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) ORDER BY source_rank, id LIMIT {LIMIT}""")
+def search_cascade(spark, sf):
+    return views.search([("part", table(spark, sf, "part"), "p_partkey", "p_name"), ("nation", table(spark, sf, "nation"), "n_nationkey", "n_name"), ("documents", table(spark, sf, "documents"), "doc_id", "text")], QUERY, LIMIT)
+
+
+@query("SELECT facet, item, count(*) AS n FROM (SELECT 'p_brand' AS facet, p_brand AS item FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part) GROUP BY 1, 2")
+def facets(spark, sf):
+    return views.facets(table(spark, sf, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@query("""SELECT category, label, min(scheme) AS scheme, count(*) AS n_sources FROM (
+  SELECT 'part' AS scheme, p_brand AS category, p_type AS label FROM part UNION ALL
+  SELECT 'nation', r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL
+  SELECT 'supplier', 'supplier', s_name FROM supplier) WHERE label IS NOT NULL GROUP BY 1, 2""")
+def concept_projection(spark, sf):
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return views.concepts([("part", table(spark, sf, "part"), F.col("p_brand"), F.col("p_type")), ("nation", nations, F.col("r_name"), F.col("n_name")), ("supplier", table(spark, sf, "supplier"), F.lit("supplier"), F.col("s_name"))])
+
+
+@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, count(*) AS n_revisions FROM events GROUP BY 1, 2")
+def version_latest(spark, sf):
+    return views.latest_version(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value")
+
+
+@query("""WITH r AS (SELECT l_suppkey, l_partkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY revenue DESC, l_partkey) AS pos FROM r)
+SELECT l_suppkey, l_partkey, revenue, CAST(pos AS INTEGER) AS pos FROM k WHERE pos <= 2""")
+def top2_per_group(spark, sf):
+    sums = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+    return views.top_per_group(sums, "l_suppkey", [F.desc("revenue"), F.col("l_partkey")], 2).withColumnRenamed("at", "pos")
+
+
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), b AS (
+  SELECT conv_id, turn, i, n AS used, 0 AS batch FROM s WHERE i = 1 UNION ALL
+  SELECT s.conv_id, s.turn, s.i, CASE WHEN b.used + s.n > 400 THEN s.n ELSE b.used + s.n END, CASE WHEN b.used + s.n > 400 THEN b.batch + 1 ELSE b.batch END FROM b JOIN s ON s.conv_id = b.conv_id AND s.i = b.i + 1)
+SELECT conv_id, CAST(batch AS BIGINT) AS batch, count(*) AS n_turns FROM b GROUP BY 1, 2""")
+def greedy_batches(spark, sf):
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n")))).alias("t"))
+    packs = turns.select("conv_id", F.explode(views.packed(F.transform("t", lambda x: x["n"]), 400)).alias("batch"))
+    return packs.groupBy("conv_id", F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+@query("SELECT r_name, count(*) AS n, string_agg(n_name, ', ' ORDER BY n_name) AS aliases FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def listagg_aliases(spark, sf):
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("aliases"))
+
+
+# Joins and resolution
+
+
+@query("""WITH k AS (SELECT n_nationkey AS id, n_regionkey AS fs, n_name AS name FROM nation UNION ALL SELECT n_nationkey, n_regionkey, substr(n_name, 1, 2) FROM nation), w AS (SELECT DISTINCT substr(c_name, 1, 2) AS name FROM customer UNION SELECT n_name FROM nation UNION SELECT substr(n_name, 1, 2) FROM nation)
+SELECT w.name, CAST(arg_min(k.id, (k.fs, k.id)) AS BIGINT) AS entity_id FROM w LEFT JOIN k USING (name) GROUP BY 1""")
+def name_or_alias_lookup(spark, sf):
+    n = table(spark, sf, "nation")
+    names = n.select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("name"), F.array(F.substring("n_name", 1, 2)).alias("aliases"), F.col("n_regionkey").alias("first_segment"))
+    wanted = table(spark, sf, "customer").select(F.substring("c_name", 1, 2).alias("name")).union(n.select("n_name")).union(n.select(F.substring("n_name", 1, 2)))
+    return resolve.lookup(names, wanted)
+
+
+@query("""WITH p AS (SELECT DISTINCT date_trunc('hour', ts) AS e, user_id, event_type FROM events)
+SELECT l.user_id AS left_id, r.user_id AS right_id, count(DISTINCT l.e) AS n_events FROM p l JOIN p r ON l.e = r.e AND l.user_id < r.user_id AND l.event_type <> r.event_type GROUP BY 1, 2""")
+def role_conflict_pairs(spark, sf):
+    p = table(spark, sf, "events").select(F.date_trunc("hour", "ts").alias("event_id"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("role"))
+    return resolve.role_conflicts(p)
+
+
+@query("SELECT least(l_partkey, l_suppkey) AS left_id, greatest(l_partkey, l_suppkey) AS right_id, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1, 2")
+def unordered_pairs(spark, sf):
+    return resolve.unordered(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+def _claims(spark, sf):
+    return _events(spark, sf).select(F.col("event_id").alias("claim_id"), F.col("subject").alias("source"), "target", F.col("kind").alias("predicate"), F.round(F.abs("value") % 1, 6).alias("confidence"))
+
+
+@query(f"WITH {EVENTS} SELECT subject AS source, target, kind AS predicate, min(event_id) AS keep_id, count(*) - 1 AS n_removed FROM ev GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def duplicate_claims(spark, sf):
+    return resolve.duplicate_claims(_claims(spark, sf))
+
+
+@query(f"WITH {EVENTS} SELECT least(subject, target) AS left_id, greatest(subject, target) AS right_id, count(DISTINCT kind) AS n_predicates FROM ev GROUP BY 1, 2 HAVING count(DISTINCT kind) >= 3")
+def multi_relation_pairs(spark, sf):
+    return resolve.multi_relation_pairs(_claims(spark, sf))
+
+
+@query(f"""WITH {EVENTS}, c AS (SELECT event_id, subject - subject % 5 AS source, target - target % 5 AS target, kind AS predicate, round(abs(value) % 1, 6) AS confidence FROM ev), k AS (
+  SELECT *, row_number() OVER (PARTITION BY source, target, predicate ORDER BY confidence DESC, event_id) AS pos FROM c WHERE source <> target)
+SELECT source, target, predicate, confidence, event_id AS claim_id FROM k WHERE pos = 1""")
+def canonical_claims(spark, sf):
+    claims = _claims(spark, sf)
+    ids = claims.select(F.col("source").alias("entity_id")).union(claims.select("target")).dropDuplicates()
+    return resolve.canonical_claims(claims, ids.withColumn("cluster_id", F.col("entity_id") - F.col("entity_id") % 5))
+
+
+@query("""WITH RECURSIVE g AS (SELECT o_custkey AS a, lag(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS b FROM orders WHERE o_orderstatus = 'P'), e AS (
+  SELECT a, b FROM g WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM g WHERE b IS NOT NULL AND a <> b), r AS (
+  SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+def connected_components(spark, sf):
+    w = Window.partitionBy("o_orderdate", "o_orderpriority", "o_orderstatus").orderBy("o_orderkey")
+    rows = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), F.lag("o_custkey").over(w).alias("b"))
+    return graph.components(rows.where("b is not null"))
+
+
+@query("""WITH p AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)
+SELECT node, parent AS ancestor, 1 AS depth FROM p UNION ALL SELECT a.node, b.parent, 2 FROM p a JOIN p b ON b.node = a.parent""")
+def containment_depth(spark, sf):
+    def edges(name, node, parent, a, b):
+        return table(spark, sf, name).select(F.concat(F.lit(a), F.col(node)).alias("node"), F.concat(F.lit(b), F.col(parent)).alias("parent"))
+
+    return graph.containment(edges("customer", "c_custkey", "c_nationkey", "c", "n").unionByName(edges("supplier", "s_suppkey", "s_nationkey", "s", "n")).unionByName(edges("nation", "n_nationkey", "n_regionkey", "n", "r")))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS degree, count(o_orderkey) = 0 AS isolated FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def degree_and_isolated(spark, sf):
+    edges = table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), (-F.col("o_orderkey") - 1).alias("b"))
+    return graph.degrees(edges, table(spark, sf, "customer"), "c_custkey")
+
+
+# Chronology
+
+
+@query(f"WITH {EVENTS} SELECT subject, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(kind, (ts, event_id)) AS kind, arg_max(value, (ts, event_id)) AS value FROM ev GROUP BY 1")
+def latest_state(spark, sf):
+    return chronology.latest_state(_events(spark, sf))
+
+
+LOCATED = f"""WITH {EVENTS}, l AS (SELECT *, last_value(place IGNORE NULLS) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS effective_place FROM ev)"""
+
+
+@query(LOCATED + " SELECT subject, event_id, place, effective_place, CASE WHEN place IS NOT NULL THEN 'explicit' WHEN effective_place IS NOT NULL THEN 'inherited' ELSE 'unresolved' END AS status FROM l")
+def effective_location(spark, sf):
+    return chronology.effective_location(_events(spark, sf))
+
+
+LEGS = f"""WITH {EVENTS}, g AS (SELECT *, sum(CASE WHEN place IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gaps FROM ev),
+h AS (SELECT *, lag(place) OVER w AS from_place, CAST(gaps - lag(gaps) OVER w AS BIGINT) AS n_between FROM g WHERE place IS NOT NULL WINDOW w AS (PARTITION BY subject ORDER BY ts, event_id)),
+legs AS (SELECT subject, event_id, from_place, place AS to_place, n_between, CASE WHEN n_between = 0 THEN 'direct' ELSE 'unknown_path' END AS gap_status, CASE WHEN n_between = 0 THEN 0.95 ELSE 0.55 END AS confidence FROM h WHERE from_place IS NOT NULL AND from_place <> place)"""
+
+
+@query(LEGS + " SELECT subject, event_id, from_place, to_place, n_between, gap_status, CAST(confidence AS DOUBLE) AS confidence FROM legs")
+def derived_journey(spark, sf):
+    return chronology.journeys(_events(spark, sf))
+
+
+@query(LEGS + """ SELECT ev.subject, ev.event_id, CAST(row_number() OVER (PARTITION BY ev.subject ORDER BY ts, ev.event_id) - 1 AS BIGINT) AS canonical_index, CASE WHEN place IS NULL THEN 'unlocated' ELSE 'located' END AS location_state, from_place, to_place, gap_status FROM ev LEFT JOIN legs ON legs.event_id = ev.event_id""")
+def story_map_steps(spark, sf):
+    events = _events(spark, sf)
+    return chronology.map_steps(events, chronology.journeys(events))
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT subject, event_id, row_number() OVER (PARTITION BY subject ORDER BY event_id) - 1 AS narrative_rank, row_number() OVER (PARTITION BY subject ORDER BY ts, event_id) - 1 AS story_rank FROM ev)
+SELECT *, narrative_rank <> story_rank AS nonlinear FROM r""")
+def story_rank(spark, sf):
+    return chronology.story_ranks(_events(spark, sf))
+
+
+@query(f"""WITH {EVENTS}, p AS (SELECT *, CASE WHEN lag(ts) OVER w IS NOT NULL AND (epoch(ts) - epoch(lag(ts) OVER w)) > 21600 THEN 1 ELSE 0 END AS b FROM ev WINDOW w AS (PARTITION BY subject ORDER BY ts, event_id)),
+u AS (SELECT *, CAST(sum(b) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS unit FROM p)
+SELECT subject, unit, count(*) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM u GROUP BY 1, 2""")
+def islands_partition(spark, sf):
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return chronology.islands(_events(spark, sf), F.col("prev_ts").isNotNull() & (seconds("ts") - seconds("prev_ts") > 21600))
+
+
+@query("""WITH i AS (SELECT event_type, epoch_us(ts) - 900000000 AS s, epoch_us(ts) + 900000000 AS e FROM events), r AS (SELECT *, max(e) OVER (PARTITION BY event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM r)
+SELECT event_type, min(s) AS "start", max(e) AS "end", count(*) AS n FROM g GROUP BY event_type, grp""")
+def merge_intervals(spark, sf):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf, "events").select("event_type", (us - 900_000_000).alias("start"), (us + 900_000_000).alias("end"))
+    return chronology.merge_intervals(rows, "event_type")
+
+
+@query(f"""WITH {EVENTS}, d AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM ev), b AS (SELECT min(day) AS first, max(day) AS last FROM d), u AS (SELECT CAST(i AS BIGINT) AS unit_id, first + i * 5 AS first_day, first + i * 5 + 6 AS last_day FROM b, (SELECT unnest(range(0, 2000)) AS i) WHERE first + i * 5 <= last)
+SELECT unit_id, count(*) AS n_events, count(DISTINCT subject) AS n_subjects FROM u JOIN d ON day BETWEEN first_day AND last_day GROUP BY 1""")
+def unit_range_join(spark, sf):
+    events = _events(spark, sf).withColumn("day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("long"))
+    span = events.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    units = span.where("a is not null").select("a", F.posexplode(F.sequence("a", "b", F.lit(5).cast("long"))).alias("i", "first_day")).select(F.col("i").cast("long").alias("unit_id"), "first_day", (F.col("first_day") + 6).alias("last_day"))
+    return chronology.in_units(events, units)
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT subject, arg_max(kind, (ts, event_id)) AS last_kind, arg_max(event_id, (ts, event_id)) AS last_id, arg_max(event_id, (ts, event_id)) FILTER (WHERE kind = 'error') AS opened_event FROM ev WHERE kind IN ('error', 'purchase') GROUP BY 1)
+SELECT subject, CASE WHEN last_kind = 'error' THEN 'open' ELSE 'resolved' END AS status, opened_event, CASE WHEN last_kind = 'purchase' THEN last_id END AS resolved_event FROM o WHERE opened_event IS NOT NULL""")
+def thread_status(spark, sf):
+    return chronology.threads(_events(spark, sf), "error", "purchase")
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, event_id DESC) AS back FROM ev)
+SELECT subject, count(*) AS n_events, arg_max(event_id, (ts, event_id)) AS through_event, arg_max(place, (ts, event_id)) FILTER (WHERE place IS NOT NULL) AS last_place, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) FILTER (WHERE back <= 12) AS recent_events FROM r GROUP BY 1""")
+def character_state_fold(spark, sf):
+    return chronology.character_states(_events(spark, sf))
+
+
+@query(f"""WITH {EVENTS}, f AS (SELECT subject, count(DISTINCT event_id) * 5 + sum(round(c_acctbal, 2)) * 2 + greatest(0, 30 - min(epoch_us(ts) // 86400000000 - 19000)) AS score, count(*) AS n FROM ev JOIN customer ON c_custkey = subject GROUP BY 1)
+SELECT subject, round(score, 2) AS score, n FROM f ORDER BY score DESC, subject LIMIT 20""")
+def main_subject_score(spark, sf):
+    # The sum runs over joined rows, so a subject's balance counts once for each event: meant so.
+    rows = _events(spark, sf).join(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), F.col("subject") == F.col("c_custkey"))
+    first = F.min(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000) - 19000)
+    score = F.countDistinct("event_id") * 5 + F.sum(F.round("c_acctbal", 2)) * 2 + F.greatest(F.lit(0), F.lit(30) - first)
+    return rows.groupBy("subject").agg(F.round(score, 2).alias("score"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("score"), "subject").limit(20)
+
+
+@query()
+def chronology_dag(spark, sf):
+    events = _events(spark, sf)
+    w = Window.partitionBy("subject").orderBy("event_id")
+    edges = events.select("subject", F.col("event_id").alias("edge_id"), F.col("event_id").alias("earlier"), F.lead("event_id", 2).over(w).alias("later"), (F.abs("value") % 1).alias("confidence"), F.lag("event_id", 3).over(w).alias("back"))
+    edges = edges.select("subject", "edge_id", "earlier", F.when(F.col("edge_id") % 7 == 0, F.col("back")).otherwise(F.col("later")).alias("later"), "confidence").where("later is not null")
+    narrative = F.row_number().over(Window.partitionBy("subject").orderBy("ts", "event_id"))
+    return graph.order_events(events.select("subject", "event_id", narrative.cast("long").alias("narrative")), edges, "subject")
+
+
+# Measures
+
+
+@query(f"""WITH {EVENTS}, a AS (SELECT count(*) AS events, count(place) AS located, count(*) FILTER (WHERE target IS NULL) AS unlinked, count(DISTINCT subject) AS subjects FROM ev), b AS (SELECT count(*) AS docs, count(DISTINCT text) AS distinct_texts FROM documents), c AS (SELECT count(*) AS labelled, sum(quality) AS good, sum(toxic) AS toxic FROM labels)
+SELECT 'events' AS metric, CAST(events AS DOUBLE) AS value FROM a UNION ALL SELECT 'location_coverage_pct', round(located / events * 100, 2) FROM a UNION ALL SELECT 'unlinked_events', unlinked FROM a UNION ALL SELECT 'subjects', subjects FROM a
+UNION ALL SELECT 'documents', docs FROM b UNION ALL SELECT 'distinct_text_pct', round(distinct_texts / docs * 100, 2) FROM b UNION ALL SELECT 'labelled', labelled FROM c UNION ALL SELECT 'good_pct', round(good / labelled * 100, 2) FROM c UNION ALL SELECT 'toxic_pct', round(toxic / labelled * 100, 2) FROM c""")
+def quality_report(spark, sf):
+    n = F.count(F.lit(1))
+    a = measures.stacked(_events(spark, sf), {"events": n, "location_coverage_pct": measures.percentage(F.count("place"), n), "unlinked_events": F.count_if(F.col("target").isNull()), "subjects": F.countDistinct("subject")})
+    b = measures.stacked(table(spark, sf, "documents").select("text"), {"documents": n, "distinct_text_pct": measures.percentage(F.countDistinct(F.sha2("text", 256)), n)})
+    c = measures.stacked(table(spark, sf, "labels"), {"labelled": n, "good_pct": measures.percentage(F.sum("quality"), n), "toxic_pct": measures.percentage(F.sum("toxic"), n)})
+    return measures.report(a, b, c)
+
+
+@query("""WITH c AS (SELECT d.source AS suite, d.n_chars = length(d.text) AND l.quality = 1 AS passed, l.toxic = 1 AS critical FROM labels l JOIN documents d USING (doc_id)), g AS (
+  SELECT suite, count(*) AS n_cases, CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS n_passed, CAST(sum(CASE WHEN critical AND NOT passed THEN 1 ELSE 0 END) AS BIGINT) AS n_critical_failures FROM c GROUP BY 1)
+SELECT *, round(n_passed / n_cases * 100, 2) AS accuracy_pct, n_cases >= 25 AND round(n_passed / n_cases * 100, 2) >= 95.0 AND n_critical_failures = 0 AS gate_open FROM g""")
+def benchmark_eval(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") == F.length("text")).alias("whole"))
+    cases = table(spark, sf, "labels").join(docs, "doc_id").select(F.col("source").alias("suite"), (F.col("whole") & (F.col("quality") == 1)).alias("passed"), (F.col("toxic") == 1).alias("critical"))
+    return measures.evaluation(cases)
+
+
+@query(f"""WITH t AS (SELECT conv_id, CAST(sum(CASE WHEN role = 'system' THEN ceil(length(text) / {TOKEN_CHARS}) ELSE 0 END) AS BIGINT) AS hit, CAST(sum(CASE WHEN role = 'user' THEN ceil(length(text) / {TOKEN_CHARS}) ELSE 0 END) AS BIGINT) AS miss, CAST(sum(CASE WHEN role = 'assistant' THEN ceil(length(text) / {TOKEN_CHARS}) ELSE 0 END) AS BIGINT) AS out FROM conversations GROUP BY 1)
+SELECT conv_id, hit, miss, out, round((hit * 0.07 + miss * 0.27 + out * 1.1) / 1000000, 8) AS cost_usd FROM t""")
+def cost_ledger(spark, sf):
+    n = F.ceil(F.length("text") / TOKEN_CHARS)
+    of = lambda role: F.sum(F.when(F.col("role") == role, n).otherwise(0)).cast("long")
+    sums = table(spark, sf, "conversations").groupBy("conv_id").agg(of("system").alias("hit"), of("user").alias("miss"), of("assistant").alias("out"))
+    return sums.withColumn("cost_usd", measures.cost(F.col("hit"), F.col("miss"), F.col("out"), F.lit(0.07), F.lit(0.27), F.lit(1.1)))
+
+
+@query("""WITH r AS (SELECT lang, ceil(length(text) / 4) / greatest(len(string_split(text, ' ')), 1) AS r FROM documents)
+SELECT lang, count(*) AS n_samples, round(median(r), 6) AS median_ratio, round(quantile_cont(r, 0.9), 6) AS p90_ratio FROM r GROUP BY 1""")
+def cost_forecast(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", "text")
+    words = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1
+    return measures.ratios(docs, ["lang"], F.ceil(F.length("text") / 4) / F.greatest(words, F.lit(1)))
+
+
+@query("""WITH e AS (SELECT doc_id, CAST(ceil(length(text) * CAST(1.1 AS DOUBLE)) AS BIGINT) AS body, CAST(ceil(n_chars * CAST(0.65 AS DOUBLE)) AS BIGINT) AS ctx FROM documents)
+SELECT doc_id, greatest(1200, body + ctx + 20000) AS input_tokens, least(greatest(body + 1600, 1200), 10240) AS output_tokens, (body + ctx + 20000) * 1.2 <= 30000 AS within_budget FROM e""")
+def cost_estimate(spark, sf):
+    tokens_in, tokens_out = measures.estimate(F.length("text"), F.col("n_chars"))
+    return table(spark, sf, "documents").select("doc_id", tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens")).withColumn("within_budget", measures.within_budget(F.col("input_tokens"), F.lit(30000)))
+
+
+# Incremental updates
+
+
+VERSIONS = """old AS (SELECT conv_id AS book_id, CAST(turn AS BIGINT) AS ordinal, 't' || turn AS title, sha256(conv_id || ':' || turn || text) AS h FROM conversations),
+new AS (SELECT book_id, ordinal, CASE WHEN ordinal % 5 = 1 THEN title || '*' ELSE title END AS title, CASE WHEN ordinal % 7 = 3 THEN h || 'x' ELSE h END AS h FROM old WHERE NOT (book_id % 4 = 0 AND ordinal = 2)
+  UNION ALL SELECT DISTINCT book_id, CAST(1000 AS BIGINT), 'added', 'new' FROM old WHERE book_id % 3 = 0)"""
+
+
+def _versions(spark, sf):
+    rows = table(spark, sf, "conversations")
+    old = rows.select(F.col("conv_id").alias("book_id"), F.col("turn").cast("long").alias("ordinal"), F.concat(F.lit("t"), "turn").alias("title"), F.sha2(F.concat("conv_id", F.lit(":"), "turn", "text"), 256).alias("content_hash"))
+    new = old.where("not (book_id % 4 = 0 and ordinal = 2)").withColumn("title", F.when(F.col("ordinal") % 5 == 1, F.concat("title", F.lit("*"))).otherwise(F.col("title"))).withColumn("content_hash", F.when(F.col("ordinal") % 7 == 3, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    added = old.where("book_id % 3 = 0").select("book_id").dropDuplicates().select("book_id", F.lit(1000).cast("long").alias("ordinal"), F.lit("added").alias("title"), F.lit("new").alias("content_hash"))
+    return old, new.unionByName(added)
+
+
+@query(f"""WITH {VERSIONS}, j AS (SELECT coalesce(o.book_id, n.book_id) AS book_id, o.ordinal AS old_ordinal, n.ordinal AS new_ordinal, o.title AS ot, n.title AS nt, o.h AS oh, n.h AS nh FROM old o FULL JOIN new n ON n.book_id = o.book_id AND n.ordinal = o.ordinal)
+SELECT book_id, old_ordinal, new_ordinal, CASE WHEN old_ordinal IS NULL THEN 'inserted' WHEN new_ordinal IS NULL THEN 'removed' WHEN oh = nh AND ot = nt THEN 'unchanged' WHEN oh = nh THEN 'renamed' WHEN ot = nt THEN 'modified' END AS change FROM j""")
+def update_plan(spark, sf):
+    return incremental.plan(*_versions(spark, sf))
+
+
+@query(f"""WITH {VERSIONS}, d AS (SELECT coalesce(o.book_id, n.book_id) AS book_id, coalesce(o.ordinal, n.ordinal) AS ordinal, o.h IS NOT DISTINCT FROM n.h AS same FROM old o FULL JOIN new n ON n.book_id = o.book_id AND n.ordinal = o.ordinal)
+SELECT book_id, coalesce(min(ordinal) FILTER (WHERE NOT same), count(*)) AS n_common FROM d GROUP BY 1""")
+def common_prefix(spark, sf):
+    return incremental.common_prefix(*_versions(spark, sf))
+
+
+@query("""WITH c AS (SELECT conv_id, turn FROM conversations WHERE length(text) % 7 = 0)
+SELECT DISTINCT a.conv_id, a.turn FROM conversations a JOIN c ON c.conv_id = a.conv_id AND abs(c.turn - a.turn) <= 1""")
+def neighbour_scope(spark, sf):
+    return incremental.neighbours(table(spark, sf, "conversations"), F.length("text") % 7 == 0, "conv_id", "turn")
+
+
+@query("""WITH o AS (SELECT DISTINCT 'doc:' || doc_id AS task_key, CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'open' END AS was FROM labels WHERE quality = 0), n AS (SELECT 'doc:' || doc_id AS task_key, CASE WHEN toxic = 1 THEN 'high' ELSE 'low' END AS severity FROM labels WHERE toxic = 1)
+SELECT coalesce(o.task_key, n.task_key) AS task_key, severity, CASE WHEN n.task_key IS NULL THEN 'auto_closed' WHEN was IS NULL THEN 'open' ELSE was END AS status FROM o FULL JOIN n ON n.task_key = o.task_key""")
+def review_task_sync(spark, sf):
+    labels = table(spark, sf, "labels")
+    key = F.concat(F.lit("doc:"), F.col("doc_id")).alias("task_key")
+    old = labels.where("quality = 0").select(key, F.when(F.col("doc_id") % 2 == 0, "done").otherwise("open").alias("status")).dropDuplicates()
+    new = labels.where("toxic = 1").select(key, F.when(F.col("toxic") == 1, "high").otherwise("low").alias("severity"))
+    return incremental.sync_tasks(old, new)
+
+
+# Geometry and similarity
+
+
+XY = "p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 1000.0 AS x, CAST(embedding[2] AS DOUBLE) * 1000.0 AS y FROM embeddings), q AS (SELECT *, lead(x) OVER (ORDER BY vec_id) - x AS dx, lead(y) OVER (ORDER BY vec_id) - y AS dy FROM p)"
+
+
+def _steps(spark, sf):
+    p = table(spark, sf, "embeddings").select("vec_id", (F.col("embedding")[0] * F.lit(1000.0)).alias("x"), (F.col("embedding")[1] * F.lit(1000.0)).alias("y"))
+    nxt = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    return p.join(nxt, "vec_id").select("vec_id", (F.col("nx") - F.col("x")).alias("dx"), (F.col("ny") - F.col("y")).alias("dy"))
+
+
+@query(f"WITH {XY} SELECT vec_id, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE dy / sqrt(dx * dx + dy * dy) END, 6) AS cosine, dy / sqrt(dx * dx + dy * dy) >= 0.15 AS holds FROM q WHERE dx IS NOT NULL")
+def direction_gate(spark, sf):
+    return _steps(spark, sf).select("vec_id", F.round(graph.cosine_to(F.col("dx"), F.col("dy"), 0.0, 1.0), 6).alias("cosine"), graph.direction_holds(F.col("dx"), F.col("dy"), 0.0, 1.0).alias("holds"))
+
+
+@query(f"WITH {XY} SELECT vec_id, round(sqrt(dx * dx + dy * dy), 4) AS distance, sqrt(dx * dx + dy * dy) <= 280 AS holds FROM q WHERE dx IS NOT NULL")
+def near_gate(spark, sf):
+    return _steps(spark, sf).select("vec_id", F.round(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), 4).alias("distance"), graph.near_holds(F.col("dx"), F.col("dy")).alias("holds"))
+
+
+@query("SELECT s_suppkey, round(76.0 + 0 * s_suppkey, 1) AS margin, round(CAST(CAST('0x' || substr(sha256(s_name), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370495.0, 9) AS unit FROM supplier")
+def stable_unit_hash(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", F.lit(76.0).alias("margin"), F.round(fx.unit_float(F.col("s_name")), 9).alias("unit"))
+
+
+@query(r"""WITH t AS (SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS s FROM benchmark), g AS (SELECT DISTINCT item_id, substr(s, i, 3) AS gram FROM (SELECT item_id, s, unnest(range(1, greatest(length(s) - 1, 1))) AS i FROM t)), n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.item_id AS left_id, b.item_id AS right_id, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND b.item_id = a.item_id + 1 GROUP BY 1, 2)
+SELECT x.item_id AS left_id, x.item_id + 1 AS right_id, round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)), 6) AS similarity FROM n x JOIN n y ON y.item_id = x.item_id + 1 LEFT JOIN p ON p.left_id = x.item_id""")
+def trigram_jaccard(spark, sf):
+    t = table(spark, sf, "benchmark").select("item_id", fx.trigrams(F.col("text")).alias("g"))
+    nxt = t.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h"))
+    return t.join(nxt, "item_id").select(F.col("item_id").alias("left_id"), (F.col("item_id") + 1).alias("right_id"), F.round(fx.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
