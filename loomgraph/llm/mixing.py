@@ -19,6 +19,8 @@ from loomgraph.llm.common import fresh, stored
 
 #: Cells that the driver rakes at most (they are combinations of labels, not rows); more raise an error.
 MOST_CELLS = 2_000_000
+#: Cells that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 TEMPER = 0.85
 
 
@@ -33,9 +35,8 @@ def topic(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words between blanks: counted as changes from blank to other, without splitting."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(F.length(t) == 0, 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """Words between blanks, counted without splitting; null has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def tempered(totals: Mapping[str, float], power: float = TEMPER) -> dict[str, float]:
@@ -120,7 +121,8 @@ def mix(df: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None,
     slim = stored(rows.drop(*[c for c in keep]), "mix-rows") if text in keep else (rows := stored(rows, "mix-rows"))
     named = {s: (targets or {}).get("source"), g: (targets or {}).get("lang"), t: (targets or {}).get("topic")}
     cells = weigh(slim, [s, g, t], n, {k: v for k, v in named.items() if v is not None}, temper).select(*[F.col(c).alias(f"{c}c") for c in (s, g, t)], "weight", "probability")
-    # As many rows as there are combinations of labels, checked by weigh() on the driver: broadcast only if small.
+    if cells.count() <= BROADCAST_CELLS:  # else texts would be dealt out to meet a few weights
+        cells = F.broadcast(cells)
     joined = rows.join(cells, F.col(s).eqNullSafe(F.col(f"{s}c")) & F.col(g).eqNullSafe(F.col(f"{g}c")) & F.col(t).eqNullSafe(F.col(f"{t}c")), "left")
     idc = fresh("id_", df.columns)
     return joined.select(*[F.col(c) for c in keep], F.col(t).alias("topic"), F.col(n).alias("n_tokens"), "weight", "probability", (chance(F.col(idc), seed) < F.col("probability")).alias("kept"))
