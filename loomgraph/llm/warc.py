@@ -247,6 +247,8 @@ TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bina
 def scan(spark, folder: str) -> DataFrame:
     """Every record of the archives from first to last byte, without the index: path and the records' fields."""
 
+    kinds = pa.schema([("path", pa.string()), ("page", pa.string()), ("kind", pa.string()), ("of", pa.string()), ("size", pa.int64()), ("sha", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -254,7 +256,7 @@ def scan(spark, folder: str) -> DataFrame:
                     z = zlib.decompressobj(31)
                     head, payload = parse(z.decompress(content) + z.flush())
                     content = z.unused_data
-                    yield pa.RecordBatch.from_pylist([{"path": path, "page": head["x-page-id"], "kind": head["warc-type"], "of": head.get("x-refers-to-page"), "size": int(head["x-payload-length"]), "sha": head["warc-payload-digest"].removeprefix("sha1:")}])
+                    yield pa.RecordBatch.from_pylist([{"path": path, "page": head["x-page-id"], "kind": head["warc-type"], "of": head.get("x-refers-to-page"), "size": int(head["x-payload-length"]), "sha": head["warc-payload-digest"].removeprefix("sha1:")}], schema=kinds)
 
     return spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").select("path", "content").mapInArrow(run, "path string, page string, kind string, of string, size long, sha string")
 
