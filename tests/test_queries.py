@@ -1,5 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
+import numbers
+
 import duckdb
 import pandas as pd
 import pytest
@@ -20,7 +22,7 @@ def duck(sf):
 def plain(v):
     if v is None or v is pd.NA or v != v:
         return None
-    return round(float(v), 6) if isinstance(v, float) else str(v)
+    return round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
 
 def rows(df):
