@@ -26,10 +26,10 @@ def find_quote(text: str, quote: str) -> tuple[int, int] | None:
     return None if at < 0 else (places[at], places[at + len(short) - 1] + 1)
 
 
-def _passes(quotes: DataFrame, item_id: str, quote: str) -> list[list[tuple[int, str]]]:
+def _passes(quotes: DataFrame, item_id: str, quote: str, strip: bool = True) -> list[list[tuple[int, str]]]:
     out, size = [[]], 0
     for r in quotes.select(item_id, quote).where(F.col(quote).isNotNull()).orderBy(item_id).toLocalIterator():
-        q = r[1].strip()
+        q = r[1].strip() if strip else r[1]
         if not q:
             continue
         if size + len(q) > QUOTE_CHARS and out[-1]:
@@ -87,23 +87,38 @@ def locate(segments: DataFrame, quotes: DataFrame, segment_id: str = "doc_id", t
 
 
 def mentions(segments: DataFrame, names: DataFrame, segment_id: str = "doc_id", text: str = "text", name: str = "name") -> DataFrame:
-    """name, n_segments, n_mentions: occurrences of each name that don't overlap each other, over all segments."""
-    listed = sorted({r[0] for r in names.select(name).where(F.length(name) > 0).toLocalIterator()})
-    shared = segments.sparkSession.sparkContext.broadcast(listed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segs, hits = [0] * len(shared.value), [0] * len(shared.value)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for k, n in enumerate(shared.value):
-                    c = t.count(n) if t else 0
-                    if c:
-                        segs[k] += 1
-                        hits[k] += c
-        yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()), pa.array(segs, pa.int64()), pa.array(hits, pa.int64())], names=["name", "n_segments", "n_mentions"])
-
-    got = segments.select(text).mapInArrow(run, "name string, n_segments long, n_mentions long")
-    return got.groupBy("name").agg(F.sum("n_segments").alias("n_segments"), F.sum("n_mentions").alias("n_mentions"))
+    """name, n_segments, n_mentions: occurrences of each name that don't overlap each other, over all segments.
+
+    All names are looked for in one scan of each text; QUOTE_CHARS of names are broadcast at most, more take more passes.
+    """
+    listed = names.select(F.col(name).alias("name")).where(F.length(name) > 0).dropDuplicates()
+    listed, found = listed.withColumn("id_", F.xxhash64("name")), None
+    for part in _passes(listed, "id_", "name", strip=False):
+        shared = segments.sparkSession.sparkContext.broadcast([q for _, q in part])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for k, n in enumerate(shared.value):
+                machine.add_word(n, k)
+            if shared.value:
+                machine.make_automaton()
+            segs, hits = [0] * len(shared.value), [0] * len(shared.value)
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    free: dict[int, int] = {}
+                    for end, k in machine.iter(t) if t and shared.value else ():
+                        start = end - len(shared.value[k]) + 1
+                        if start >= free.get(k, 0):
+                            segs[k] += k not in free
+                            hits[k] += 1
+                            free[k] = end + 1
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()), pa.array(segs, pa.int64()), pa.array(hits, pa.int64())], names=["name", "n_segments", "n_mentions"])
+
+        got = segments.select(text).mapInArrow(run, "name string, n_segments long, n_mentions long")
+        found = got if found is None else found.unionByName(got)
+    return found.groupBy("name").agg(F.sum("n_segments").alias("n_segments"), F.sum("n_mentions").alias("n_mentions"))
 
 
 def gate(candidates: DataFrame, located: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

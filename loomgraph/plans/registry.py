@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as fx
-from loomgraph.operators import chronology, evidence, graph, incremental, measures, resolve, views
-from loomgraph.sources import adapters
+from loomgraph.functions import topics
+from loomgraph.operators import chronology, curation, evidence, graph, incremental, layout, measures, resolve, views
+from loomgraph.sources import adapters, sinks
 from loomgraph.sources.adapters import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,3 +469,168 @@ def trigram_jaccard(spark, sf):
     t = table(spark, sf, "benchmark").select("item_id", fx.trigrams(F.col("text")).alias("g"))
     nxt = t.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h"))
     return t.join(nxt, "item_id").select(F.col("item_id").alias("left_id"), (F.col("item_id") + 1).alias("right_id"), F.round(fx.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
+
+
+# Curation, ledgers and maps
+
+
+@query("""WITH e AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'part' ELSE 'supplier' END AS target_type, CAST(json_extract(props, '$.k') AS BIGINT) AS target_id, user_id % 50 AS segment_id, CASE WHEN value > 20 THEN event_id END AS run_id FROM events),
+r AS (SELECT user_id % 50 AS segment_id, arg_max(event_id, (ts, event_id)) AS late FROM events WHERE event_type = 'error' AND user_id % 50 < 40 GROUP BY 1),
+s AS (SELECT target_type, target_id, count(*) AS n, count(coalesce(run_id, late)) AS t FROM e LEFT JOIN r USING (segment_id) GROUP BY 1, 2),
+f AS (SELECT 'part' AS target_type, p_partkey AS target_id FROM part UNION ALL SELECT 'supplier', s_suppkey FROM supplier)
+SELECT target_type, target_id, coalesce(n, 0) AS n_evidence, coalesce(t, 0) AS n_traced, CASE WHEN n IS NULL THEN 'none' WHEN n = t THEN 'complete' ELSE 'legacy' END AS trace_status FROM f LEFT JOIN s USING (target_type, target_id)""")
+def evidence_drill_down(spark, sf):
+    ev = _events(spark, sf)
+    segment = (F.col("subject") % 50).alias("segment_id")
+    evidence_ = ev.select(F.when(F.col("kind").isin("view", "click"), "part").otherwise("supplier").alias("target_type"), F.col("target").alias("target_id"), segment, F.when(F.col("value") > 20, F.col("event_id")).alias("run_id"))
+    results = ev.where("kind = 'error' and subject % 50 < 40").select(segment, F.struct("ts", "event_id").alias("at"), F.col("event_id").alias("run_id"))
+    facts = table(spark, sf, "part").select(F.lit("part").alias("target_type"), F.col("p_partkey").alias("target_id")).unionByName(table(spark, sf, "supplier").select(F.lit("supplier").alias("target_type"), F.col("s_suppkey").alias("target_id")))
+    return curation.drill_down(facts, evidence_, results)
+
+
+@query("""WITH n AS (SELECT p_partkey AS claim_id, CASE WHEN p_size % 2 = 0 THEN 'original_text' ELSE 'note' END AS origin, p_size AS fs FROM part), e AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS claim_id, count(*) AS k FROM events WHERE user_id <= 30 GROUP BY 1)
+SELECT claim_id, origin, coalesce(k, 0) AS n_evidence FROM n LEFT JOIN e USING (claim_id) WHERE fs <= 30 AND (origin <> 'original_text' OR k > 0)""")
+def claim_context(spark, sf):
+    claims = table(spark, sf, "part").select(F.col("p_partkey").alias("claim_id"), F.when(F.col("p_size") % 2 == 0, "original_text").otherwise("note").alias("origin"), F.col("p_size").alias("first_segment"))
+    return curation.claim_context(claims, _events(spark, sf).select(F.col("target").alias("claim_id"), F.col("subject").alias("segment")), 30)
+
+
+@query("""WITH n AS (SELECT p_partkey AS note_id, CASE WHEN p_partkey % 10 = 0 THEN 'synthesis' ELSE 'raw' END AS origin, p_size AS fs FROM part), c AS (SELECT p_partkey AS raw_id, p_partkey - p_partkey % 10 AS synthesis_id FROM part WHERE p_partkey % 10 BETWEEN 1 AND 4)
+SELECT note_id, origin FROM n WHERE fs <= 30 AND note_id NOT IN (SELECT raw_id FROM c JOIN n ON note_id = synthesis_id WHERE fs <= 30)""")
+def visible_notes(spark, sf):
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part")
+    notes = p.select(k.alias("note_id"), F.when(k % 10 == 0, "synthesis").otherwise("raw").alias("origin"), F.col("p_size").alias("first_segment"))
+    covers = p.where((k % 10).between(1, 4)).select(k.alias("raw_id"), (k - k % 10).alias("synthesis_id"))
+    return curation.visible_notes(notes, covers, 30).select("note_id", "origin")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderdate AS f, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 90 DAY END AS t FROM orders)
+SELECT o_orderkey FROM r WHERE f <= TIMESTAMP '1996-06-01' AND (t IS NULL OR t >= TIMESTAMP '1996-06-01')""")
+def effective_interval(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("effective_from"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("effective_to"))
+    return curation.effective(rows, F.lit("1996-06-01").cast("timestamp_ntz")).select("o_orderkey")
+
+
+@query("""SELECT p_brand AS cluster_id, max(p_size) AS importance, CAST(min(p_partkey) AS BIGINT) AS first_segment, count(*) AS n_evidence, arg_max(p_name, (p_size, -p_partkey)) AS name, arg_min(p_type, (-length(p_type), p_type)) AS summary,
+  coalesce(array_to_string(list_sort(list_filter(list_distinct(list(p_name)), lambda x: x <> arg_max(p_name, (p_size, -p_partkey)))), '; '), '') AS aliases FROM part GROUP BY 1""")
+def merged_attributes(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_size").alias("importance"), F.col("p_partkey").alias("first_segment"), F.lit(1).alias("n_evidence"), F.col("p_type").alias("summary"))
+    return curation.merge_attributes(p)
+
+
+@query("SELECT * FROM (SELECT user_id AS subject, event_id AS earlier, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events) WHERE later IS NOT NULL")
+def adjacent_pairs(spark, sf):
+    return curation.adjacent_pairs(_events(spark, sf), "subject", "ts", "event_id")
+
+
+@query("""SELECT conv_id, turn, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 3) + 1 AS BIGINT) AS part, CAST(ceil(count(*) OVER (PARTITION BY conv_id) / 3) AS BIGINT) AS n_parts FROM conversations""")
+def parts_of(spark, sf):
+    return curation.parts(table(spark, sf, "conversations"), "conv_id", "turn", 3)
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment AS o1, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS n1, c_nationkey AS o2, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS n2 FROM customer)
+SELECT c_custkey, 'c_mktsegment' AS field, o1 AS old_value, n1 AS new_value FROM c WHERE o1 IS DISTINCT FROM n1 UNION ALL SELECT c_custkey, 'c_nationkey', CAST(o2 AS VARCHAR), CAST(n2 AS VARCHAR) FROM c WHERE o2 IS DISTINCT FROM n2""")
+def correction_log(spark, sf):
+    old = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    new = old.withColumn("c_mktsegment", F.when(k % 7 != 0, F.col("c_mktsegment"))).withColumn("c_nationkey", F.when(k % 5 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")))
+    return curation.field_changes(old, new, "c_custkey", ["c_mktsegment", "c_nationkey"])
+
+
+@query("""WITH c AS (SELECT event_type AS provider, ts, event_id, value <= 100 AS ok FROM events), g AS (SELECT provider, max((ts, event_id)) AS good FROM c WHERE ok GROUP BY 1),
+h AS (SELECT provider, count(*) AS n_calls, count(*) FILTER (WHERE NOT ok) AS n_failed, count(*) FILTER (WHERE NOT ok AND (good IS NULL OR (ts, event_id) > good)) AS n_in_row, max(ts) AS t FROM c LEFT JOIN g USING (provider) GROUP BY 1)
+SELECT provider, n_calls, n_failed, n_in_row, CASE WHEN n_in_row >= 1 THEN epoch_us(t + INTERVAL 30 MINUTE) END AS rests_until_us FROM h""")
+def provider_health(spark, sf):
+    calls = _events(spark, sf).select(F.col("kind").alias("provider"), F.col("ts").alias("at"), F.col("event_id").alias("call_id"), (F.col("value") <= 100).alias("ok"))
+    got = curation.provider_health(calls, failures=1)
+    return got.withColumn("rests_until_us", F.unix_micros(F.col("rests_until").cast("timestamp"))).drop("rests_until")
+
+
+@query("""WITH l AS (SELECT o_custkey AS job_id, count(*) AS n, CAST(sum(o_orderkey % 100) AS BIGINT) AS t, count(*) FILTER (WHERE o_orderkey % 9 <> 0) AS p, sum(CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey % 1000) / 8.0 END) AS c FROM orders GROUP BY 1)
+SELECT c_custkey AS job_id, coalesce(n, 0) AS n_calls, coalesce(t, 0) AS tokens, round(CASE WHEN n > 0 AND n = p THEN c ELSE c_nationkey / 4.0 END, 8) AS cost FROM customer LEFT JOIN l ON job_id = c_custkey""")
+def job_rollup(spark, sf):
+    k = F.col("o_orderkey")
+    calls = table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), (k % 100).alias("tokens"), F.when(k % 9 != 0, (k % 1000) / 8.0).alias("cost"))
+    return curation.job_rollup(table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id"), (F.col("c_nationkey") / 4.0).alias("estimate")), calls)
+
+
+@query("""WITH r AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id % 17 + 1 AS p, event_id % 23 + 1 AS a FROM events), u AS (SELECT subject, median(a / p) AS m FROM r WHERE pos <= 10 GROUP BY 1),
+l AS (SELECT subject, count(*) AS n_held_out, CAST(sum(p) AS DOUBLE) AS p, CAST(sum(a) AS DOUBLE) AS a FROM r WHERE pos BETWEEN 11 AND 50 GROUP BY 1)
+SELECT subject, n_held_out, round(m, 6) AS ratio, round(abs(p * m - a) / a, 6) AS error, abs(p * m - a) / a <= 0.25 AS holds FROM l JOIN u USING (subject)""")
+def forecast_backtest(spark, sf):
+    rows = _events(spark, sf).withColumn("p", F.col("event_id") % 17 + 1).withColumn("a", F.col("event_id") % 23 + 1)
+    return curation.backtest(rows, "subject", ["ts", "event_id"], "p", "a")
+
+
+@query("""WITH c AS (SELECT source AS book_id, quality = 1 AS passed, doc_id % 4 = 0 AS h FROM labels JOIN documents USING (doc_id)), b AS (SELECT book_id, count(*) AS n, count(*) FILTER (WHERE h) AS h, count(*) FILTER (WHERE h AND passed) AS ok FROM c GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_cases, count(*) AS n_books, min(n) AS least_per_book, round(sum(h) / sum(n), 6) AS held_out_share, round(sum(ok) / sum(h), 6) AS held_out_accuracy, sum(n) >= 300 AND count(*) >= 12 AND min(n) >= 25 AND sum(h) / sum(n) >= 0.2 AND sum(ok) / sum(h) >= 0.95 AS gate_open FROM b""")
+def release_gate(spark, sf):
+    cases = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("book_id")), "doc_id")
+    return curation.release_gate(cases.select("book_id", (F.col("quality") == 1).alias("passed"), (F.col("doc_id") % 4 == 0).alias("held_out")))
+
+
+@query("""WITH t AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'purchase'), s AS (SELECT s_suppkey AS node, s_nationkey FROM supplier)
+SELECT node, CASE WHEN node IN (SELECT k FROM t) THEN 'connected' WHEN s_nationkey % 3 = 0 AND node % 2 = 0 THEN 'isolated' ELSE 'pending' END AS state FROM s""")
+def connectivity_states(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), "s_nationkey")
+    t = _events(spark, sf).where("kind = 'purchase'").select(F.col("target").alias("a"), F.col("target").alias("b"))
+    reviews = s.where("s_nationkey % 3 = 0").select("node", F.lit("isolated").alias("verdict"), F.when(F.col("node") % 2 == 0, 5).otherwise(4).alias("n_segments"))
+    return curation.connectivity(s, t, reviews, 5)
+
+
+@query("""WITH k AS (SELECT user_id AS entity_id, max(event_id) AS l FROM events GROUP BY 1) SELECT event_id AS decision_id, l = event_id AS can_undo FROM events JOIN k ON entity_id = user_id""")
+def undoable_merges(spark, sf):
+    ev = _events(spark, sf).select(F.col("event_id").alias("decision_id"), F.col("subject").alias("entity_id"))
+    return curation.undoable(ev, ev)
+
+
+@query("""WITH e AS (SELECT user_id AS book_id, event_id, event_type AS title FROM events), m AS (SELECT e.book_id, e.event_id, e.title, CASE WHEN e.event_id % 3 = 0 THEN 'before' ELSE 'after' END AS rel, max(o.event_id) AS other FROM e JOIN e o ON o.book_id = e.book_id AND o.title = e.title AND o.event_id <> e.event_id WHERE e.event_id % 3 < 2 GROUP BY ALL)
+SELECT book_id, CASE WHEN rel = 'before' THEN event_id ELSE other END AS earlier, CASE WHEN rel = 'before' THEN other ELSE event_id END AS later FROM m""")
+def reference_edges(spark, sf):
+    ev = _events(spark, sf).select(F.col("subject").alias("book_id"), "event_id", F.col("kind").alias("title"))
+    k = F.col("event_id") % 3
+    return curation.reference_edges(ev.withColumn("relation", F.when(k == 0, "before").when(k == 1, "after").otherwise("same")), ev)
+
+
+@query("""SELECT CAST(c_nationkey AS BIGINT) AS book_id, c_mktsegment AS name, CAST(min(c_custkey) AS BIGINT) AS first_segment, 0.65 AS importance FROM customer WHERE NOT (c_nationkey % 2 = 0 AND c_mktsegment LIKE 'A%') GROUP BY 1, 2""")
+def missing_places(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("book_id"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("segment"))
+    return curation.missing_places(c, c.where("book_id % 2 = 0 and name like 'A%'"))
+
+
+@query("""SELECT p_partkey, greatest(68.0, least(190.0, w * 12.0 + (n - w) * 7.2)) AS width FROM (SELECT p_partkey, length(p_name) AS n, length(regexp_replace(p_name, '[\\x00-\\x7F]', '', 'g')) AS w FROM part)""".replace("\\\\", "\\"))
+def label_widths(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", topics.label_width(F.col("p_name")).alias("width"))
+
+
+@query("""WITH b AS (SELECT s_suppkey AS i, s_suppkey * 37 % 1000 * 1.0 AS x, s_suppkey * 91 % 997 * 1.0 AS y, 10.0 + s_suppkey % 13 AS w FROM supplier)
+SELECT a.i AS left_id, b.i AS right_id, round((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.w, b.y + b.w) - greatest(a.y, b.y)) / least(a.w * a.w, b.w * b.w), 6) AS ratio
+FROM b a JOIN b ON a.i < b.i AND least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.w, b.y + b.w) > greatest(a.y, b.y)""")
+def box_overlaps(spark, sf):
+    k = F.col("s_suppkey")
+    b = table(spark, sf, "supplier").select(k.alias("box_id"), (k * 37 % 1000).cast("double").alias("x0"), (k * 91 % 997).cast("double").alias("y0"), (F.lit(10.0) + k % 13).alias("w"))
+    return layout.overlaps(b.select("box_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("w")).alias("y1")), 20.0)
+
+
+@query()
+def map_layout(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("book_id"), F.col("s_suppkey").alias("place_id"))
+    nxt = F.lead("place_id").over(Window.partitionBy("book_id").orderBy("place_id"))
+    return layout.layout(s, s.select("book_id", F.col("place_id").alias("a"), nxt.alias("b"), F.when(F.col("place_id") % 5 == 0, "near").otherwise("route").alias("kind")).where("b is not null"))
+
+
+@query("""SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name, c_nationkey + 1, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 = 0""")
+def keyed_upsert(spark, sf):
+    c = table(spark, sf, "customer")
+    return sinks.upsert(c, c.where("c_custkey % 3 = 0").withColumn("c_nationkey", F.col("c_nationkey") + 1), ["c_custkey"])
+
+
+@query("""SELECT doc_id AS book_id, CAST(0 AS BIGINT) AS ordinal, trim(regexp_extract(coalesce(text, ''), '^\\s*([^.!?。！？]*[.!?。！？]?)', 1)) AS event FROM documents""".replace("\\\\", "\\"))
+def offline_events(spark, sf):
+    return sinks.first_sentences(table(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).cast("long").alias("ordinal"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+@query("""SELECT CAST(i AS BIGINT) AS ordinal, CAST(i % 60 AS BIGINT) AS lead, CAST((i + 1) % 60 AS BIGINT) AS partner, CAST(i % 12 AS BIGINT) AS from_place, CAST((i + 1) % 12 AS BIGINT) AS to_place, i % 7 = 3 AS flashback, CASE WHEN i % 7 = 3 THEN greatest(0, i - 12) + 0.25 ELSE i END AS story_order FROM range(120) t(i)""")
+def generated_book(spark, sf):
+    return sinks.generated_book(spark, 120).select("ordinal", "lead", "partner", "from_place", "to_place", "flashback", "story_order")
