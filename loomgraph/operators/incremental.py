@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,33 +13,68 @@ def plan(old: DataFrame, new: DataFrame, book: str = "book_id") -> DataFrame:
     """book, old_ordinal, new_ordinal, change: unchanged, renamed, reordered, modified, removed or inserted.
 
     Equal bodies are matched first, the k-th of one side with the k-th of the other in order of position, by title if
-    titles agree; what is left on both sides is matched by title, then told apart as inserted or removed.
-    Both sides: book, ordinal, title, content_hash.
+    titles agree; what is left on both sides is matched by title, then told apart as inserted or removed. A null title
+    or hash equals none. Both sides: book, ordinal, title, content_hash. Both are dealt out by book once, which serves
+    all windows; no side is joined.
     """
-
-    def numbered(df: DataFrame, keys: list[str], side: str) -> DataFrame:
-        k = F.row_number().over(Window.partitionBy(book, *keys).orderBy("ordinal"))
-        return df.select(book, *keys, k.alias("k"), F.col("ordinal").alias(f"{side}_ordinal"), *[F.col(c).alias(f"{side}_{c}") for c in ("title", "content_hash") if c not in keys])
-
-    def pair(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-        return numbered(a, keys, "old").join(numbered(b, keys, "new"), [book, *keys, "k"]).select(book, "old_ordinal", "new_ordinal")
-
-    def rest(df: DataFrame, found: DataFrame, side: str) -> DataFrame:
-        return df.join(found.select(book, F.col(f"{side}_ordinal").alias("ordinal")), [book, "ordinal"], "left_anti")
-
-    same = pair(old, new, ["content_hash", "title"]).withColumn("step", F.lit("same"))
-    a, b = rest(old, same, "old"), rest(new, same, "new")
-    body = pair(a, b, ["content_hash"]).withColumn("step", F.lit("renamed"))
-    a, b = rest(a, body, "old"), rest(b, body, "new")
-    title = pair(a, b, ["title"]).withColumn("step", F.lit("modified"))
-    gone = rest(a, title, "old").select(book, F.col("ordinal").alias("old_ordinal"), F.lit(None).cast("long").alias("new_ordinal"), F.lit("removed").alias("step"))
-    come = rest(b, title, "new").select(book, F.lit(None).cast("long").alias("old_ordinal"), F.col("ordinal").alias("new_ordinal"), F.lit("inserted").alias("step"))
-    matched = same.unionByName(body).unionByName(title)
-    before = F.row_number().over(Window.partitionBy(book).orderBy("old_ordinal"))
-    after = F.row_number().over(Window.partitionBy(book).orderBy("new_ordinal"))
-    moved = matched.withColumn("a_", before).withColumn("b_", after)
-    change = F.when(F.col("step") != "same", F.col("step")).when(F.col("a_") != F.col("b_"), "reordered").otherwise("unchanged")
-    return moved.select(book, "old_ordinal", "new_ordinal", change.alias("change")).unionByName(gone.unionByName(come).withColumnRenamed("step", "change"))
+    cols = [book, "ordinal", "title", "content_hash"]
+    rows = old.select(*cols, F.lit(0).alias("side")).unionByName(new.select(*cols, F.lit(1).alias("side"))).repartition(book)
+    rows = rows.withColumn("step", F.lit(None).cast("string")).withColumn("other", F.lit(None).cast("long"))
+
+    def match(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        free = F.col("step").isNull()
+        for c in keys:
+            free = free & F.col(c).isNotNull()
+        df = df.withColumn("free", free)
+        df = df.withColumn("k", F.row_number().over(Window.partitionBy(book, *keys, "free", "side").orderBy("ordinal")))
+        both = Window.partitionBy(book, *keys, "free", "k")
+        df = df.withColumn("n", F.count(F.lit(1)).over(both)).withColumn("total", F.sum("ordinal").over(both))
+        met = F.col("free") & (F.col("n") == 2)
+        return df.withColumn("other", F.when(met, F.col("total") - F.col("ordinal")).otherwise(F.col("other"))).withColumn("step", F.when(met, name).otherwise(F.col("step")))
+
+    rows = match(match(match(rows, ["content_hash", "title"], "same"), ["content_hash"], "renamed"), ["title"], "modified")
+    rows = rows.where("side = 1 or step is null").withColumn("found", F.col("step").isNotNull())
+    here, there = F.col("ordinal").cast("long"), F.col("other").cast("long")
+    rows = rows.withColumn("old_ordinal", F.when(F.col("side") == 0, here).otherwise(there)).withColumn("new_ordinal", F.when(F.col("side") == 1, here))
+    each = Window.partitionBy(book, "found")
+    moved = F.row_number().over(each.orderBy("old_ordinal")) != F.row_number().over(each.orderBy("new_ordinal"))
+    rows = rows.withColumn("moved", moved)
+    lone = F.when(F.col("side") == 0, "removed").otherwise("inserted")
+    change = F.when(~F.col("found"), lone).when(F.col("step") != "same", F.col("step")).when(F.col("moved"), "reordered").otherwise("unchanged")
+    return rows.select(book, "old_ordinal", "new_ordinal", change.alias("change"))
+
+
+def alike_titles(changes: DataFrame, old: DataFrame, new: DataFrame, book: str = "book_id", least: float = 0.68) -> DataFrame:
+    """changes, with removed and inserted chapters of a book paired as modified where their titles are alike.
+
+    In old order each removed chapter takes the most alike inserted one that is free, the first of equals. Only what
+    plan() left unmatched is compared, within a book, so one task holds the leftovers of a book alone.
+    """
+    gone = changes.where("change = 'removed'").join(old.select(book, F.col("ordinal").alias("old_ordinal"), "title"), [book, "old_ordinal"]).select(book, F.col("old_ordinal").alias("at"), "title")
+    come = changes.where("change = 'inserted'").join(new.select(book, F.col("ordinal").alias("new_ordinal"), "title"), [book, "new_ordinal"]).select(book, F.col("new_ordinal").alias("at"), "title")
+    gone, come = gone.toDF(book, "at", "title"), come.toDF(book, "at", "title")
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        free, out = dict(sorted(zip(b["at"].tolist(), b["title"].tolist(), strict=True))), []
+        for at, title in sorted(zip(a["at"].tolist(), a["title"].tolist(), strict=True)):
+            best, score = None, least
+            matcher = SequenceMatcher(None, autojunk=False)
+            matcher.set_seq2(title or "")
+            for k, t in free.items():
+                matcher.set_seq1(t or "")
+                if title and t and matcher.real_quick_ratio() >= score and (r := matcher.ratio()) >= score and (best is None or r > score):
+                    best, score = k, r
+            if best is not None:
+                del free[best]
+                out.append((at, best))
+        return pd.DataFrame({book: [a[book].iloc[0]] * len(out) if len(a) else [], "old_": [x for x, _ in out], "new_": [y for _, y in out]})
+
+    kind = changes.schema[book].dataType.simpleString()
+    pairs = gone.groupBy(book).cogroup(come.groupBy(book)).applyInPandas(pair, f"{book} {kind}, old_ long, new_ long")
+    rows = changes.join(pairs.select(book, F.col("old_").alias("old_ordinal"), "new_"), [book, "old_ordinal"], "left")
+    rows = rows.join(pairs.select(book, F.col("new_").alias("new_ordinal"), F.lit(True).alias("taken_")), [book, "new_ordinal"], "left").where("not (change = 'inserted' and taken_ is not null)")
+    hit = F.col("new_").isNotNull()
+    return rows.select(book, "old_ordinal", F.when(hit, F.col("new_")).otherwise(F.col("new_ordinal")).alias("new_ordinal"), F.when(hit, "modified").otherwise(F.col("change")).alias("change"))
 
 
 def reuse_ratio(changes: DataFrame, book: str = "book_id") -> DataFrame:

@@ -604,13 +604,13 @@ def label_widths(spark, sf):
     return table(spark, sf, "part").select("p_partkey", topics.label_width(F.col("p_name")).alias("width"))
 
 
-@query("""WITH b AS (SELECT s_suppkey AS i, s_suppkey * 37 % 1000 * 1.0 AS x, s_suppkey * 91 % 997 * 1.0 AS y, 10.0 + s_suppkey % 13 AS w FROM supplier)
+@query("""WITH b AS (SELECT s_suppkey AS i, s_suppkey * 37 % 1000 * 1.0 AS x, s_suppkey * 91 % 997 * 1.0 AS y, 60.0 + s_suppkey % 13 AS w FROM supplier)
 SELECT a.i AS left_id, b.i AS right_id, round((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.w, b.y + b.w) - greatest(a.y, b.y)) / least(a.w * a.w, b.w * b.w), 6) AS ratio
 FROM b a JOIN b ON a.i < b.i AND least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.w, b.y + b.w) > greatest(a.y, b.y)""")
 def box_overlaps(spark, sf):
     k = F.col("s_suppkey")
-    b = table(spark, sf, "supplier").select(k.alias("box_id"), (k * 37 % 1000).cast("double").alias("x0"), (k * 91 % 997).cast("double").alias("y0"), (F.lit(10.0) + k % 13).alias("w"))
-    return layout.overlaps(b.select("box_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("w")).alias("y1")), 20.0)
+    b = table(spark, sf, "supplier").select(k.alias("box_id"), (k * 37 % 1000).cast("double").alias("x0"), (k * 91 % 997).cast("double").alias("y0"), (F.lit(60.0) + k % 13).alias("w"))
+    return layout.overlaps(b.select("box_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("w")).alias("y1")), 80.0)
 
 
 @query()

@@ -109,3 +109,16 @@ def test_evidence_moves_to_its_own_book(spark):
     segs = spark.createDataFrame([(100, 1, 0), (200, 2, 0), (201, 2, 1)], "segment_id long, book_id long, ordinal long")
     facts = spark.createDataFrame([(10, 1)], "fact_id long, book_id long")
     assert sorted((r.evidence_id, r.segment_id) for r in sinks.repaired(ev, segs, facts).collect()) == [(1, 100), (2, 100)]
+
+
+def test_renamed_and_edited_chapters_are_found_by_alike_titles(spark):
+    side = "book_id long, ordinal long, title string, content_hash string"
+    old = spark.createDataFrame([(1, 0, "The long voyage", "A"), (1, 1, "Home", "B"), (1, 2, None, "C"), (2, 0, "x", "D")], side)
+    new = spark.createDataFrame([(1, 0, "Home", "B"), (1, 1, "The longer voyage", "Z"), (1, 2, None, "Y"), (3, 0, "x", "D")], side)
+    from loomgraph.operators import incremental
+
+    changes = incremental.plan(old, new)
+    assert sorted((r.book_id, r.change) for r in changes.collect()) == [(1, "inserted"), (1, "inserted"), (1, "removed"), (1, "removed"), (1, "unchanged"), (2, "removed"), (3, "inserted")]
+    got = incremental.alike_titles(changes, old, new).collect()
+    assert sorted((r.book_id, r.old_ordinal, r.new_ordinal, r.change) for r in got if r.change in ("modified", "unchanged")) == [(1, 0, 1, "modified"), (1, 1, 0, "unchanged")]
+    assert sorted((r.book_id, r.change) for r in got if r.change in ("removed", "inserted")) == [(1, "inserted"), (1, "removed"), (2, "removed"), (3, "inserted")]
