@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as fx
 from loomgraph.functions import topics
-from loomgraph.operators import chronology, curation, evidence, graph, incremental, layout, measures, resolve, views
+from loomgraph.operators import chronology, curation, evidence, graph, incremental, layout, measures, repair, resolve, views
 from loomgraph.sources import adapters, sinks
 from loomgraph.sources.adapters import table
 
@@ -634,3 +634,131 @@ def offline_events(spark, sf):
 @query("""SELECT CAST(i AS BIGINT) AS ordinal, CAST(i % 60 AS BIGINT) AS lead, CAST((i + 1) % 60 AS BIGINT) AS partner, CAST(i % 12 AS BIGINT) AS from_place, CAST((i + 1) % 12 AS BIGINT) AS to_place, i % 7 = 3 AS flashback, CASE WHEN i % 7 = 3 THEN greatest(0, i - 12) + 0.25 ELSE i END AS story_order FROM range(120) t(i)""")
 def generated_book(spark, sf):
     return sinks.generated_book(spark, 120).select("ordinal", "lead", "partner", "from_place", "to_place", "flashback", "story_order")
+
+
+# Repairs
+
+
+@query("""WITH p AS (SELECT CAST(s_nationkey AS VARCHAR) AS name, min(s_suppkey) AS id FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1)
+SELECT CAST(-1 - id AS BIGINT) AS source, CAST(n_nationkey AS BIGINT) AS target, regexp_extract(n_name, '^([A-Z]+)_', 1) AS predicate, CAST(0.98 AS DOUBLE) AS confidence FROM nation JOIN p ON regexp_extract(n_name, '_([0-9]+)$', 1) = name""")
+def kin_claims(spark, sf):
+    entities = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("name"))
+    persons = table(spark, sf, "supplier").select((F.lit(-1) - F.col("s_suppkey")).cast("long").alias("entity_id"), F.col("s_nationkey").cast("string").alias("name"))
+    return repair.kin_claims(entities, persons, r"^([A-Z]+)_([0-9]+)$", owner=2, kin=1)
+
+
+SAID = "([A-Za-z]+) (of|in|and) ([A-Za-z]+)"
+
+
+@query(f"""WITH s AS (SELECT conv_id, unnest(regexp_extract_all(text, '{SAID}')) AS x FROM conversations), p AS (SELECT conv_id, regexp_extract(x, '{SAID}', 1) AS source, regexp_extract(x, '{SAID}', 2) AS predicate, regexp_extract(x, '{SAID}', 3) AS target FROM s),
+k AS (SELECT DISTINCT regexp_extract(text, '^[^ ]+') AS name FROM benchmark)
+SELECT source, predicate, target, CAST(min(conv_id) AS BIGINT) AS first_segment, count(*) AS n_evidence, source NOT IN (SELECT name FROM k) AS new_source, target NOT IN (SELECT name FROM k) AS new_target FROM p WHERE source <> target GROUP BY 1, 2, 3""")
+def said_relations(spark, sf):
+    segments = table(spark, sf, "conversations").select(F.col("conv_id").cast("long").alias("segment"), "text")
+    return repair.said_relations(segments, SAID, 1, 2, 3, table(spark, sf, "benchmark").select(F.regexp_extract("text", "^[^ ]+", 0).alias("name")))
+
+
+@query("SELECT d.doc_id, CAST(min(b.item_id) AS BIGINT) AS item_id FROM documents d JOIN benchmark b ON instr(d.text, trim(b.text)) > 0 GROUP BY 1 HAVING count(DISTINCT b.item_id) = 1")
+def location_backfill(spark, sf):
+    return repair.sole_value(evidence.locate(table(spark, sf, "documents"), table(spark, sf, "benchmark")), "doc_id", "item_id")
+
+
+@query("""WITH s AS (SELECT conv_id, lower(unnest(regexp_extract_all(text, ' at ([A-Za-z]+)', 1))) AS place FROM conversations) SELECT conv_id, min(place) AS place FROM s GROUP BY 1 HAVING count(DISTINCT place) = 1""")
+def scene_places(spark, sf):
+    return repair.scenes(table(spark, sf, "conversations"), "conv_id", "text", " at ([A-Za-z]+)")
+
+
+@query("""WITH c AS (SELECT CAST(user_id * 100 + day(ts) AS BIGINT) AS event_id, CASE event_type WHEN 'click' THEN 'view' ELSE event_type END AS p, value > 150 AS titled FROM events), g AS (SELECT event_id, bool_or(titled) AS t FROM c GROUP BY 1)
+SELECT event_id, min(p) AS place, CASE WHEN t THEN 'title' ELSE 'quote' END AS basis FROM c JOIN g USING (event_id) WHERE titled = t GROUP BY event_id, t HAVING count(DISTINCT p) = 1""")
+def repaired_locations(spark, sf):
+    c = table(spark, sf, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).cast("long").alias("event_id"), F.col("event_type").alias("place"), (F.col("value") > 150).alias("titled"))
+    return repair.repaired_locations(c, spark.createDataFrame([("click", "view")], "place string, canonical_place string"))
+
+
+@query("""WITH m AS (SELECT c_custkey AS old, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS new FROM customer)
+SELECT DISTINCT CAST(coalesce(new, o_custkey) AS BIGINT) AS target_id, o_orderpriority AS quote FROM orders LEFT JOIN m ON o_custkey = old""")
+def moved_evidence(spark, sf):
+    c = table(spark, sf, "customer")
+    least = c.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").cast("long").alias("new"))
+    mapping = c.join(least, ["c_nationkey", "c_mktsegment"]).select(F.col("c_custkey").cast("long").alias("old"), "new")
+    return repair.moved(table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("target_id"), F.col("o_orderpriority").alias("quote")), mapping, "target_id")
+
+
+HITS = "h AS (SELECT d.doc_id, b.item_id, instr(d.text, trim(b.text)) - 1 AS s, instr(d.text, trim(b.text)) - 1 + length(trim(b.text)) AS e, length(d.text) AS n, d.text FROM documents d JOIN benchmark b ON instr(d.text, trim(b.text)) > 0)"
+
+
+@query(f"""WITH {HITS}, w AS (SELECT doc_id, item_id, greatest(s - 240, 0) AS s, least(e + 240, n) AS e FROM h), f AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY doc_id ORDER BY s, e, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS f FROM w),
+g AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY s, e, item_id ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT doc_id AS segment, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", count(DISTINCT item_id) AS n_targets FROM g GROUP BY doc_id, g""")
+def mention_windows(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = evidence.locate(docs, table(spark, sf, "benchmark"))
+    hits = docs.select("doc_id", F.length("text").cast("long").alias("length")).join(found, "doc_id")
+    return repair.mention_windows(hits.select(F.col("doc_id").alias("segment"), F.col("item_id").alias("target"), F.col("quote_start").alias("start"), F.col("quote_end").alias("end"), "length"), least=1)
+
+
+@query(f"""WITH {HITS}, r AS (SELECT item_id, doc_id, substr(text, greatest(s - 90, 0) + 1, s - greatest(s - 90, 0) + 260) AS quote, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM h) SELECT item_id, doc_id, quote, rank FROM r WHERE rank <= 8""")
+def completion_candidates(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = repair.first_per_key(evidence.locate(docs, table(spark, sf, "benchmark")), "item_id", "doc_id", 8)
+    start = F.greatest(F.col("quote_start") - 90, F.lit(0))
+    return docs.join(found, "doc_id").select("item_id", "doc_id", F.substring("text", (start + 1).cast("int"), (F.col("quote_start") - start + 260).cast("int")).alias("quote"), "rank")
+
+
+@query("""WITH v AS (SELECT o_custkey AS node, CASE WHEN o_orderstatus = 'P' THEN 'related' WHEN o_orderstatus = 'O' THEN 'isolated' WHEN o_totalprice > 150000 THEN 'unclear' END AS verdict, round(o_totalprice / 1000000, 6) AS c FROM orders)
+SELECT CAST(node AS BIGINT) AS node, CASE WHEN bool_or(coalesce(verdict = 'related', false)) THEN 'connected' WHEN count(verdict) < count(*) THEN 'pending' WHEN bool_and(verdict = 'isolated') THEN 'isolated' ELSE 'ambiguous' END AS state,
+  coalesce(max(c) FILTER (WHERE verdict = 'related'), min(c)) AS confidence, count(*) AS n_parts FROM v GROUP BY node""")
+def audited_nodes(spark, sf):
+    verdict = F.when(F.col("o_orderstatus") == "P", "related").when(F.col("o_orderstatus") == "O", "isolated").when(F.col("o_totalprice") > 150000, "unclear")
+    return repair.audited(table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("node"), verdict.alias("verdict"), F.round(F.col("o_totalprice") / 1000000, 6).alias("confidence")))
+
+
+@query("""SELECT p_brand AS suite, count(*) AS n_cases, count(*) FILTER (WHERE p_size > 10) AS n_confirmed, count(*) FILTER (WHERE p_partkey % 5 = 0) AS n_held_out,
+  CASE WHEN count(*) FILTER (WHERE p_size > 10) > 0 THEN round(100.0 * count(*) FILTER (WHERE p_size > 10 AND p_retailprice > 905) / count(*) FILTER (WHERE p_size > 10), 1) END AS accuracy FROM part GROUP BY 1""")
+def suite_summary(spark, sf):
+    p = table(spark, sf, "part")
+    return repair.suites(p.select(F.col("p_brand").alias("suite"), F.when(F.col("p_size") > 10, "confirmed").otherwise("candidate").alias("status"), (F.col("p_partkey") % 5 == 0).alias("held_out"), (F.col("p_retailprice") > 905).alias("passed")))
+
+
+@query("""WITH m AS (SELECT o_custkey AS unit, arg_max(o_orderkey % 40, o_orderkey) AS w FROM orders WHERE o_orderkey % 40 IN (SELECT n_nationkey FROM nation) GROUP BY 1)
+SELECT CAST(coalesce(w, c_nationkey) AS BIGINT) AS world, count(*) AS n_units FROM customer LEFT JOIN m ON c_custkey = unit GROUP BY 1""")
+def reparented_worlds(spark, sf):
+    units = table(spark, sf, "customer").select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").cast("long").alias("world"))
+    worlds = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("world"))
+    moves = table(spark, sf, "orders").select(F.col("o_custkey").alias("unit"), (F.col("o_orderkey") % 40).cast("long").alias("to_world"), F.col("o_orderkey").alias("at"))
+    return repair.reparented(units, worlds, moves).groupBy("world").agg(F.count(F.lit(1)).alias("n_units"))
+
+
+@query("""WITH d AS (SELECT user_id, arg_max(CASE event_type WHEN 'click' THEN 'contextual' WHEN 'purchase' THEN 'false_positive' WHEN 'error' THEN 'quarantined' END, event_id) FILTER (WHERE event_type IN ('click', 'purchase', 'error')) AS s FROM events GROUP BY 1) SELECT user_id, coalesce(s, 'open') AS status FROM d""")
+def settled_conflicts(spark, sf):
+    return repair.settled(table(spark, sf, "events"), {"click": "contextual", "purchase": "false_positive", "error": "quarantined"}, "user_id", "event_id", "event_type")
+
+
+@query("""WITH n AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer) SELECT c_custkey, CASE WHEN n = 1 THEN c_mktsegment ELSE c_mktsegment || ' (' || n || ')' END AS shown_title FROM n""")
+def numbered_titles(spark, sf):
+    return repair.numbered_titles(table(spark, sf, "customer"), "c_nationkey", "c_mktsegment", "c_custkey").select("c_custkey", "shown_title")
+
+
+@query("""WITH r AS (SELECT c_nationkey, CAST('0x' || substr(sha256(CAST(c_custkey AS VARCHAR) || '␟' || c_mktsegment), 1, 15) AS BIGINT) AS h FROM customer)
+SELECT c_nationkey, count(*) AS n_rows, sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(h) AS VARCHAR)) AS digest FROM r GROUP BY 1""")
+def content_digest(spark, sf):
+    return repair.content_digest(table(spark, sf, "customer"), "c_nationkey", ["c_custkey", "c_mktsegment"])
+
+
+@query("""WITH RECURSIVE f AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer), up AS (SELECT k AS move_id, k // 3 AS folder, k AS pos FROM f WHERE k % 4 <> 1 UNION ALL SELECT k, k // 2 + 5, k FROM f WHERE k % 4 = 1
+  UNION ALL SELECT move_id, folder, pos // 2 FROM up WHERE pos > 0)
+SELECT move_id, folder, move_id AS new_parent FROM up GROUP BY 1, 2 HAVING bool_or(pos = folder)""")
+def cyclic_moves(spark, sf):
+    k = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    folder = F.when(F.col("k") % 4 != 1, F.expr("k div 3")).otherwise(F.expr("k div 2") + 5)
+    return repair.cyclic_moves(k.select(F.col("k").alias("folder"), F.when(F.col("k") > 0, F.expr("k div 2")).alias("parent")), k.select(F.col("k").alias("move_id"), folder.alias("folder"), F.col("k").alias("new_parent")))
+
+
+@query(f"WITH {HITS}, n AS (SELECT CAST(item_id // 5 AS BIGINT) AS request, doc_id, count(*) AS n_hits FROM h GROUP BY 1, 2) SELECT request, arg_max(doc_id, (n_hits, -doc_id)) AS doc_id, max(n_hits) AS n_hits FROM n GROUP BY 1")
+def ledger_replay(spark, sf):
+    hits = evidence.locate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return repair.best_segments(hits.withColumn("request", F.expr("item_id div 5")), "request", "doc_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN p_type END AS p_type, CASE WHEN p_size <= 10 THEN p_retailprice END AS p_retailprice FROM part")
+def sealed_answers(spark, sf):
+    return repair.hidden(table(spark, sf, "part"), F.col("p_size") > 10, ["p_type", "p_retailprice"]).select("p_partkey", "p_type", "p_retailprice")
