@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,23 +13,27 @@ from pyspark.sql import functions as F
 LEAST_COSINE, MOST_DISTANCE = 0.15, 280.0
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, checkpointed in the shared folder; one for this session only where the cluster names none."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of (a, b) reaches.
 
     Each round every node takes the smallest label around it, then the label of its label; lineage is cut by
     checkpoint(), which executors may be lost after.
     """
-    if not edges.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        edges.sparkSession.sparkContext.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").dropDuplicates().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node").checkpoint()
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").dropDuplicates())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"))
     for _ in range(most_rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         jump = step.select(F.col("node").alias("n"), F.col("to").alias("jumped"))
-        new = step.join(jump, step["to"] == jump["n"], "left").select("node", F.least("to", F.coalesce("jumped", "to")).alias("component"), "was").checkpoint()
+        new = cut(step.join(jump, step["to"] == jump["n"], "left").select("node", F.least("to", F.coalesce("jumped", "to")).alias("component"), "was"))
         if new.where("component <> was").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import SEPARATOR
+from loomgraph.operators.graph import cut
 
 
 def kin_claims(entities: DataFrame, persons: DataFrame, pattern: str, owner: int = 1, kin: int = 2) -> DataFrame:
@@ -145,13 +146,15 @@ def content_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def cyclic_moves(parents: DataFrame, moves: DataFrame, most_depth: int = 64) -> DataFrame:
     """moves (move_id, folder, new_parent) that would put a folder under itself or its own descendant.
 
-    parents: folder, parent (null at the top). Only the moves climb, one join a level, until all are at the top.
+    parents: folder, parent (null at the top). Only the moves climb, one join a level, until all are at the top or
+    go round in a loop that was there before.
     """
-    at = moves.select("move_id", "folder", F.col("new_parent").alias("at"))
+    at = moves.select("move_id", "folder", F.col("new_parent").alias("at"), F.array("new_parent").alias("path"))
     up = parents.where("parent is not null").select(F.col("folder").alias("at"), F.col("parent").alias("next"))
     bad = at.where("at = folder").select("move_id")
     for _ in range(most_depth):
-        at = at.where("at <> folder").join(up, "at").select("move_id", "folder", F.col("next").alias("at"))
+        step = at.where("at <> folder").join(up, "at").where(~F.array_contains("path", F.col("next")))
+        at = cut(step.select("move_id", "folder", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path")))
         if at.isEmpty():
             break
         bad = bad.unionByName(at.where("at = folder").select("move_id"))
