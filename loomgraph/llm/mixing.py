@@ -9,6 +9,7 @@ is kept twice. Whether it is kept depends on a hash of its id and the seed only:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,15 +23,19 @@ MOST_CELLS = 2_000_000
 #: Cells that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
 TEMPER = 0.85
+#: Cues of legal texts, in any case, and of links.
+LEGAL = ("licensed under", "license, version", "permission is hereby granted", "copyright")
+LINKS = ("http://", "https://", "www.")
 
 
 def topic(text: Column) -> Column:
     """A topic from surface cues, for tables without one: the first that applies."""
     t = F.coalesce(text, F.lit(""))
-    has = lambda p: t.rlike(p)
+    holds = lambda c, cues: reduce(Column.__or__, [c.contains(x) for x in cues])
+    mail = t.contains("@") & t.rlike("[A-Za-z0-9._-]@[A-Za-z0-9-]+[.][a-z]")  # plain searches are cheaper than patterns
     return (
-        F.when(F.length(t) < 200, "note").when(has("(?i)(licensed under|license, version|permission is hereby granted|copyright)"), "legal")
-        .when(has("(https?://|www[.]|[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z])"), "contact").when(has("[{};=]"), "code").otherwise("prose")
+        F.when(F.length(t) < 200, "note").when(holds(F.lower(t), LEGAL), "legal")
+        .when(holds(t, LINKS) | mail, "contact").when(holds(t, "{};="), "code").otherwise("prose")
     )
 
 

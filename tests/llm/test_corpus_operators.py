@@ -296,3 +296,10 @@ def test_pipeline(spark, sf, texts):
     assert len(got) > 0.5 * texts.text.nunique()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "sentencepiece"]
     assert "pipeline" in QUERIES
+
+
+def test_topics_are_those_of_the_patterns(spark):
+    pad = "word " * 50
+    texts = ["short =", pad, None, "", pad + "COPYRIGHT", pad + "License, Version 2", pad + "see http://x", pad + "www.x", pad + "a@b.c", pad + "a@b.C", pad + "@b.c", pad + "a@.c", pad + "x = 1", pad + "}", pad + "httpx:// a @ b"]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in texts], "text string").select(mixing.topic(F.col("text")).alias("t")).collect()]
+    assert got == ["note", "prose", "note", "note", "legal", "legal", "contact", "contact", "contact", "prose", "prose", "prose", "code", "code", "prose"]
