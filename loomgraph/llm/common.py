@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of text that a Python worker holds as Python objects at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Entries after which a worker's memo of words is emptied.
-MEMO = 600_000
+MEMO = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
