@@ -182,18 +182,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: Sequence[str] | None = None, size: int = 4, most_bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """`keep` (doc_id by default), fp, fingerprint (hex) and component_id, the smallest doc_id reachable over links.
+    """`keep` (doc_id by default), fp, fingerprint (hex), root and component_id, the smallest doc_id reachable over links.
 
-    One row for each row of df. Rows without an id take part; a component of such rows only has a null id.
+    One row for each row of df. Rows without an id take part; a component of such rows only has a null id. Ids may
+    repeat, so components may share a component_id; root, the smallest fingerprint reachable, is each one's own.
     """
     cols = [doc_id] if keep is None else list(keep)
-    prints = stored(fingerprints(df, text, [c for c in cols if c.lower() not in ("fp", "fingerprint", "component_id")], size, "fp"), "simhash-prints")
+    prints = stored(fingerprints(df, text, [c for c in cols if c.lower() not in ("fp", "fingerprint", "root", "component_id")], size, "fp"), "simhash-prints")
     classes = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), "fp", most_bits, block))
     member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     merged = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_prints"))
-    ids = member.join(merged, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select(*[c for c in prints.columns if c != "fp"], "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = member.join(merged, "root").select("fp", "root", "component_id")
+    return prints.join(ids, "fp").select(*[c for c in prints.columns if c != "fp"], "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", most_bits: int = 4) -> DataFrame:
@@ -203,5 +204,5 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", most_
     numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
     found = near_duplicates(numbered, text, doc_id, [doc_id, row], most_bits=most_bits)
     del spark
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))).alias("best")).select(F.col("best.row").alias(row))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))).alias("best")).select(F.col("best.row").alias(row))
     return numbered.join(best, row, "left_semi").drop(row)
