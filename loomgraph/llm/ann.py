@@ -124,9 +124,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
         return empty
     dim = sizes[0]["d"]
     good = good.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
-    # Classes of equal vectors: the k + 1 smallest ids; the limit acts before the shuffle.
-    first = good.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
-    classes = first.groupBy("v").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"))
+    # Classes of equal vectors: the k + 1 smallest distinct ids; repeated rows go first, so that they take no places.
+    first = good.select("id", "v").dropDuplicates().withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
+    classes = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

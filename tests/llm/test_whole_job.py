@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.llm import simhash
+from loomgraph.llm import ann, simhash
 
 
 def test_deduplicate_keeps_components_of_null_and_repeated_ids(spark):
@@ -14,3 +14,10 @@ def test_deduplicate_keeps_components_of_null_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in simhash.deduplicate(df).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
     assert simhash.near_duplicates(df).select("root").distinct().count() == 4
+
+
+def test_repeated_rows_take_no_places_of_other_ids(spark):
+    hot, far = [1.0] * 8, [2.0] * 8
+    rows = [(1, hot)] * 11 + [(k, hot) for k in range(2, 14) for _ in range(2)] + [(100, hot), (50, far)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 100).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(k, 0.0) for k in range(1, 11)]
