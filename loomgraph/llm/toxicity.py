@@ -118,6 +118,17 @@ class Scorer:
                     break
         return best
 
+    def prune(self) -> None:
+        """Takes out each key whose words score the same without it: what the next shorter known key, or nothing, says."""
+        level = {k: max(-DRIFT, v) for k, v in self.odds.items()}
+
+        def shorter(key: str) -> float:
+            up = keys_of(key)[:-1] if not key.endswith("~") else [f"{key[:k]}~" for k in STARTS if k < len(key) - 1]
+            return next((level[k] for k in reversed(up) if k in level), -DRIFT)
+
+        self.odds = {k: v for k, v in self.odds.items() if level[k] != shorter(k)}
+        self.memo = {}
+
     def walk(self, text: str) -> np.ndarray:
         memo = self.memo
         words = text.lower().split()
@@ -214,10 +225,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     model = Scorer(fit_odds(counts, toxic, other))
     rest = part.where("calibrates").select("t", "y").toArrow().to_pydict()  # a quarter of the sample
     model.calibrate(rest["t"], [int(y > 0) for y in rest["y"]])
-    strong = {k: v for k, v in model.odds.items() if v > 0}
-    # What isn't positive matters only where a longer key is less toxic than its beginning.
-    model.odds = {k: v for k, v in model.odds.items() if v > 0 or any(b in strong for b in keys_of(k)[:-1]) or (k.endswith("~") and f"{k[: STARTS[0]]}~" in strong)}
-    model.memo = {}
+    model.prune()
     return model
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, simhash
+from loomgraph.llm import ann, simhash, toxicity
 
 
 def test_deduplicate_keeps_components_of_null_and_repeated_ids(spark):
@@ -21,3 +21,24 @@ def test_repeated_rows_take_no_places_of_other_ids(spark):
     rows = [(1, hot)] * 11 + [(k, hot) for k in range(2, 14) for _ in range(2)] + [(100, hot), (50, far)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 100).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(k, 0.0) for k in range(1, 11)]
+
+
+def test_a_smaller_model_scores_each_word_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    full = {}
+    whole = toxicity.Scorer.calibrate
+
+    def watched(self, texts, toxic):
+        full.update(self.odds)
+        whole(self, texts, toxic)
+
+    toxicity.Scorer.calibrate = watched
+    try:
+        model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    finally:
+        toxicity.Scorer.calibrate = whole
+    before = toxicity.Scorer({})
+    before.odds = full
+    words = [k.rstrip("~") for k in full] + [k.rstrip("~") + "zzzz" for k in full]
+    assert any(-toxicity.DRIFT < v < 0 for v in full.values())
+    assert [model.token(w) for w in words] == [before.token(w) for w in words]
