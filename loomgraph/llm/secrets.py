@@ -5,7 +5,7 @@ convolution, maxima over the context and over the candidate, one logistic unit.
 findings made by a seeded generator (N_FINDINGS of them, a documented bound), with look-alikes that aren't secrets. One
 part of them calibrates the score (Platt), another sets the threshold: the highest that keeps the wanted recall.
 
-What the fixed rules find is always a finding; the network only adds spans that touch none of those.
+What the fixed rules find is always a finding; the network adds each span that those don't cover wholly.
 """
 
 from __future__ import annotations
@@ -47,6 +47,14 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def covered(spans: Sequence[tuple[int, str, int]], a: int, b: int) -> bool:
+    """Whether the fixed rules' spans, sorted by start, hold all of a to b."""
+    for s, kind, e in spans:
+        if kind != "model" and s <= a < e:
+            a = e
+    return a >= b
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Runs of 16 or more key characters that mix letters with digits, or case inside a long run."""
     out = []
@@ -234,7 +242,7 @@ class Scanner:
             return found
         p = self.net.probability(np.concatenate(codes))
         for (k, a, b), q in zip(where, p.tolist(), strict=True):
-            if q >= self.net.threshold and all(b <= s or e <= a for s, kind, e in found[k] if kind != "model"):
+            if q >= self.net.threshold and not covered(found[k], a, b):
                 found[k].append((a, "model", b))
         return [sorted(f, key=lambda s: (s[0], KINDS.index(s[1]))) for f in found]
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, simhash, toxicity
+from loomgraph.llm import ann, secrets, simhash, toxicity
 
 
 def test_deduplicate_keeps_components_of_null_and_repeated_ids(spark):
@@ -42,3 +42,16 @@ def test_a_smaller_model_scores_each_word_the_same(spark, sf):
     words = [k.rstrip("~") for k in full] + [k.rstrip("~") + "zzzz" for k in full]
     assert any(-toxicity.DRIFT < v < 0 for v in full.values())
     assert [model.token(w) for w in words] == [before.token(w) for w in words]
+
+
+def test_secrets_that_overlap_a_fixed_rule_are_masked_whole():
+    net = secrets.Network()
+    net.probability = lambda x: np.ones(len(x))
+    run, rest = "0123456789abcdef", "KTXWMQPLZRKTXW0QPLZRMV"
+    for body in (rest + run + rest, f"{run}/{rest}", f"{rest}/{run}"):
+        text = f"see {body} there"
+        spans = secrets.Scanner(net).spans([text])[0]
+        assert (4, "model", 4 + len(body)) in spans and any(k == "hex" for _, k, _ in spans)
+        masked = secrets.redacted(text, spans)
+        assert rest not in masked and run not in masked and masked.endswith(" there")
+    assert [k for _, k, _ in secrets.Scanner(net).spans([f"see {run} there"])[0]] == ["hex"]
