@@ -32,7 +32,10 @@ N_FINDINGS = 4000
 RECALL = 0.98
 BEFORE, BODY, AFTER = 28, 44, 12
 WINDOW = BEFORE + BODY + AFTER
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", re.A)
+#: Steps of the windows over a longer body: any 33 characters of it lie in one window.
+STEP = 11
+LEAST = LEAST_ASSIGN
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}", re.A)
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -56,16 +59,20 @@ def covered(spans: Sequence[tuple[int, str, int]], a: int, b: int) -> bool:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of 16 or more key characters that mix letters with digits, or case inside a long run."""
+    """Runs of LEAST or more key characters, of any kinds: the network judges every one."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0].rstrip("=-_/.")
-        inner = s[1:]
-        if len(s) >= 16 and (any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or len(s) >= 24 and sum(a.islower() and b.isupper() for a, b in zip(inner, inner[1:], strict=False)) >= 3):
-            out.append((m.start(), m.start() + len(s)))
+        size = len(m[0].rstrip("=-_/."))
+        if size >= LEAST:
+            out.append((m.start(), m.start() + size))
     return out
 
 
+def views(a: int, b: int) -> list[tuple[int, int]]:
+    """What the network looks at of a candidate: the whole, and of one over BODY windows that leave out no character."""
+    return [(a, b)] if b - a <= BODY else [(a, b), *((s, s + BODY) for s in range(a, b - BODY, STEP)), (b - BODY, b)]
+
+
 def _classes() -> np.ndarray:
     """Character classes: what a key looks like depends on kinds of characters more than on which they are."""
     of = np.full(128, 1, np.int8)
@@ -172,9 +179,12 @@ class Network:
         self.scale, self.shift = float(w[0]), float(w[1])
 
     def limit(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """The highest threshold at which at least `recall` of the secrets are found; never under an even chance."""
-        p = np.sort(self.probability(x)[y == 1])
-        self.threshold = max(0.5, float(p[int((1 - recall) * len(p))]) if len(p) else 0.5)
+        """The highest threshold at which at least `recall` of the secrets are found."""
+        self.set_limit(self.probability(x)[y == 1], recall)
+
+    def set_limit(self, p: np.ndarray, recall: float = RECALL) -> None:
+        p = np.sort(p)
+        self.threshold = float(p[int((1 - recall) * len(p))]) if len(p) else 0.5
 
 
 def findings(n: int = N_FINDINGS, seed: int = 5) -> list[tuple[str, int, int, int]]:
@@ -182,7 +192,7 @@ def findings(n: int = N_FINDINGS, seed: int = 5) -> list[tuple[str, int, int, in
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(rng.choice(list(s), k))
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
-    syll = ["ka", "ter", "min", "os", "le", "ru", "van", "in", "to", "ble", "tion", "es", "qu", "al"]
+    syll = ["ka", "ter", "min", "os", "le", "ru", "van", "in", "to", "ble", "tion", "es", "qu", "al", "the", "and", "ing", "th", "st", "nd", "sch", "lich", "keit", "heit", "ung", "ver", "ent", "ber", "bl", "tz", "pf", "wh", "ly", "ed", "er", "en", "re", "ach", "cht", "str", "con", "ment", "ness", "ght"]
     word = lambda k=3: "".join(rng.choice(syll, k))
     names = ["key", "auth", "access_key", "client_key", "credential", "pwd", "private", "bearer", "signature", "API", "conn"]
     out = []
@@ -191,35 +201,65 @@ def findings(n: int = N_FINDINGS, seed: int = 5) -> list[tuple[str, int, int, in
         before = " ".join(word(int(rng.integers(1, 4))) for _ in range(int(rng.integers(0, 6))))
         after = " " + " ".join(word(int(rng.integers(1, 4))) for _ in range(int(rng.integers(0, 4))))
         if secret:
-            size = int(rng.integers(16, 48))
-            form = int(rng.integers(0, 6))
-            body = (pick(low + up + dig, size), pick(low + up + dig + "+/", size), pick(up + dig, size), "".join(rng.choice(["sk", "pk", "ghp", "xox", "live"])) + "_" + pick(low + up + dig, size), pick("0123456789ABCDEF", size), pick(low + dig, size))[form]
-            if not any(c.isdigit() for c in body):
-                body = body[:5] + "7" + body[6:]
+            size = int(rng.integers(LEAST, 48))
+            form = int(rng.integers(0, 7))
+            body = (pick(low + up + dig, size), pick(low + up + dig + "+/", size), pick(up + dig, size), "".join(rng.choice(["sk", "pk", "ghp", "xox", "live"])) + "_" + pick(low + up + dig, size), pick("0123456789ABCDEF", size), pick(low + dig, size), pick(low + up, size))[form]
             lead = before + (f" {rng.choice(names)}{rng.choice([' = ', '=', ': ', ':'])}{rng.choice(['', chr(34), chr(39)])}" if rng.random() < 0.75 else " ")
         else:
-            form = int(rng.integers(0, 9))
+            form = int(rng.integers(0, 18))
             body = (
                 "-".join(word() for _ in range(4)) + pick(dig, 2), "_".join(word() for _ in range(4)) + pick(dig, 1), "/".join(word() for _ in range(4)) + "/" + pick(dig, 4),
                 word(9) + pick(dig, 2), pick(dig, 4) + "-" + pick(dig, 2) + "-" + pick(dig, 2) + "T" + pick(dig, 6) + "Z", "".join(word(2).title() for _ in range(6)), "v" + pick(dig, 1) + "-" + word(2) + "-" + word(2) + "-" + pick(dig, 3), word(1) * 8 + pick(dig, 1), word(2).upper() + "-" + "-".join(pick(dig, 4) for _ in range(4)),
+                word(int(rng.integers(5, 9))), word(int(rng.integers(5, 9))), word(int(rng.integers(4, 8))).title(), word(int(rng.integers(4, 8))).upper(), "-".join(word(2) for _ in range(3)), "_".join(word(2) for _ in range(3)).upper(), "/".join(word(2) for _ in range(4)), word(3) + word(3).title() + word(2).title(), pick(dig, int(rng.integers(LEAST, 20))),
             )[form]
-            body += pick(low, max(0, 16 - len(body)))
+            body += word(6)[: max(0, LEAST - len(body))]
             lead = before + rng.choice([" ", " ", " http://", " /", " id: ", " see "])
         text = f"{lead}{body}{after}"
         out.append((text, len(lead), len(lead) + len(body), secret))
     return out
 
 
+def paths(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
+    """Labelled long candidates (text, start, end, start of the key, its end): words joined, every other one with a key among them."""
+    rng = np.random.default_rng(seed)
+    keys = [(t[a:b]) for t, a, b, secret in findings(2 * n, seed + 1) if secret]
+    words = [w for t, *_, secret in findings(n, seed + 2) if not secret for w in t.split() if w.isalpha()]
+    out = []
+    for k in range(n):
+        cut = str(rng.choice(["/", "/", "-", "_"]))
+        front, back = (cut.join(rng.choice(words, int(rng.integers(3, 12)))) + cut for _ in range(2))
+        key = keys[k] if k % 2 else ""
+        lead = str(rng.choice(["see ", "http:/", "", "id: "]))
+        a, at = len(lead), len(lead) + len(front)
+        text = f"{lead}{front}{key}{cut if key else ''}{back}".rstrip("=-_/.")
+        out.append((f"{text} {rng.choice(words)}", a, len(text), at, at + len(key)))
+    return out
+
+
 def trained(n: int = N_FINDINGS, seed: int = 5) -> Network:
-    """The network of this module: the same on every run for the same n and seed."""
-    rows = findings(n, seed)
-    x = np.concatenate([windows(t, [(a, b)]) for t, a, b, _ in rows])
-    y = np.array([s for *_, s in rows], float)
-    third = np.arange(len(y)) // 2 % 4
+    """The network of this module: the same on every run for the same n and seed. Trained and limited on what a scan shows it."""
+    codes, labels, part, of, secret = [], [], [], [], []
+    rows = [(t, a, b, a, b if y else a) for t, a, b, y in findings(n, seed)] + paths(n // 4, seed + 20)
+    for k, (t, a, b, c, d) in enumerate(rows):
+        seen = views(a, b)
+        if b - a > BODY and (c, d) != (a, b) and d > c:
+            seen = seen[1:]  # the first view is of the ends only, so it doesn't say whether a key lies between
+        # A window is of a secret if it shows most of the key or many characters of it, of none if it shows next to nothing.
+        shown = [max(0, min(d, f) - max(c, e)) for e, f in seen]
+        use = [(v, float(s >= min(24, 0.7 * (d - c)) and s > 0)) for v, s in zip(seen, shown, strict=True) if s <= 3 or s >= min(24, 0.7 * (d - c))]
+        codes.append(windows(t, [v for v, _ in use]))
+        labels += [y for _, y in use]
+        part += [k // 2 % 4] * len(use)
+        of += [k] * len(use)
+        secret.append(d > c)
+    x, y, part, of = np.concatenate(codes), np.array(labels), np.array(part), np.array(of)
     net = Network()
-    net.train(x[third < 2], y[third < 2])
-    net.calibrate(x[third == 2], y[third == 2])
-    net.limit(x[third == 3], y[third == 3])
+    net.train(x[part < 2], y[part < 2])
+    net.calibrate(x[part == 2], y[part == 2])
+    best = np.zeros(len(rows))
+    np.maximum.at(best, of[part == 3], net.probability(x[part == 3]))
+    last = np.arange(len(rows)) // 2 % 4 == 3
+    net.set_limit(best[last & np.array(secret)])
     return net
 
 
@@ -232,15 +272,17 @@ class Scanner:
         found = [base_spans(t) for t in texts]
         if self.net is None:
             return found
-        where, codes = [], []
+        where, codes, sizes = [], [], []
         for k, t in enumerate(texts):
             cand = candidates(t)
             if cand:
                 where += [(k, a, b) for a, b in cand]
-                codes.append(windows(t, cand))
+                seen = [views(a, b) for a, b in cand]
+                sizes += map(len, seen)
+                codes.append(windows(t, [v for s in seen for v in s]))
         if not where:
             return found
-        p = self.net.probability(np.concatenate(codes))
+        p = np.maximum.reduceat(self.net.probability(np.concatenate(codes)), np.cumsum([0, *sizes[:-1]]))
         for (k, a, b), q in zip(where, p.tolist(), strict=True):
             if q >= self.net.threshold and not covered(found[k], a, b):
                 found[k].append((a, "model", b))

@@ -55,3 +55,27 @@ def test_secrets_that_overlap_a_fixed_rule_are_masked_whole():
         masked = secrets.redacted(text, spans)
         assert rest not in masked and run not in masked and masked.endswith(" there")
     assert [k for _, k, _ in secrets.Scanner(net).spans([f"see {run} there"])[0]] == ["hex"]
+
+
+def test_the_network_sees_short_candidates_and_the_middle_of_long_ones():
+    net = secrets.trained()
+    scanner = secrets.Scanner(net)
+    path = "/".join(["terminos"] * 6)
+    keys = ["kT9xW2mQ7pLz", "kTxWqmQpLzRbNvA", "Zq8Lw3Xv9Rt2Bn7KpD4f"]
+    texts = [f"pwd = {keys[0]}", f"bearer: {keys[1]} ok", f"see {path}/{keys[2]}/{path} end"]
+    for text, key, found in zip(texts, keys, scanner.spans(texts), strict=True):
+        assert any(k == "model" and a <= text.index(key) and b >= text.index(key) + len(key) for a, k, b in found), text
+    assert scanner.spans([f"see {path}/{path} and internationalisation"]) == [[]]
+    a, b = 3, 203
+    assert {k for s, e in secrets.views(a, b)[1:] for k in range(s, e)} == set(range(a, b))
+    net.set_limit(np.array([0.1] * 50 + [0.9] * 50), 0.98)
+    assert net.threshold == 0.1
+
+
+def test_the_network_leaves_ordinary_words_alone():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    found = secrets.Scanner(secrets.trained()).spans(texts)
+    words = sum(t[a:b].isalpha() for t, f in zip(texts, found, strict=True) for a, k, b in f if k == "model")
+    assert words <= 0.02 * sum(len(secrets.candidates(t)) for t in texts)
