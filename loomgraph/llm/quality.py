@@ -43,7 +43,7 @@ class Rules:
 class Judge:
     def __init__(self, rules: Rules):
         self.r = rules
-        self.nav = re.compile(rf"^\W*(?:{NAVIGATION})(?:\W+(?:{NAVIGATION}))*\W*$", re.I)
+        self.nav = re.compile(rf"^\W*+(?:{NAVIGATION})(?:\W++(?:{NAVIGATION}))*+\W*+$", re.I)
         self.odd = re.compile(r"[^\w\s]")
 
     def base(self, text: str) -> tuple[int, int, int, int, int]:
@@ -74,7 +74,7 @@ class Judge:
         if n >= r.long_line and line.isupper():
             return "punctuation"  # shouted
         bars = sum(map(line.count, "|»›·"))
-        if bars >= 3 and bars > r.separator_share * n or chars < 200 and self.nav.match(line):
+        if bars >= 3 and bars > r.separator_share * n or self.nav.match(line):
             return "navigation"
         if times > 2 or boiler and any(p in line.lower() for p in BOILERPLATE):
             return "boilerplate"

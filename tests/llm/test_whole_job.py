@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, secrets, simhash, toxicity
+from loomgraph.llm import ann, quality, secrets, simhash, toxicity
 
 
 def test_deduplicate_keeps_components_of_null_and_repeated_ids(spark):
@@ -79,3 +79,12 @@ def test_the_network_leaves_ordinary_words_alone():
     found = secrets.Scanner(secrets.trained()).spans(texts)
     words = sum(t[a:b].isalpha() for t, f in zip(texts, found, strict=True) for a, k, b in f if k == "model")
     assert words <= 0.02 * sum(len(secrets.candidates(t)) for t in texts)
+
+
+def test_long_navigation_lines_fail():
+    line = " ".join(["Home Menu Login Search Contact"] * 12)
+    assert len(line.replace(" ", "")) >= 200
+    prose = "\n".join("the river ran past old mills %d while nobody was there to see it" % k for k in range(3))
+    judge = quality.Judge(quality.Rules()).judge
+    assert quality.Judge(quality.Rules()).line_fails(line, line.split(), 1, False, False) == "navigation"
+    assert judge(f"{prose}\n{line}")[7] == 1 and judge(f"{prose}\n{line} riverside")[7] == 0
