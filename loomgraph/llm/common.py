@@ -3,7 +3,8 @@
 Rules that hold for every operator here:
 
 * null text counts as the empty text; rows are never dropped for having a null in any column;
-* an output column replaces an input column of the same name, every other input column that is asked for stays;
+* an output column replaces an input column of the same name, case aside; every other input column that is asked for
+  stays, whatever its name (names may hold dots);
 * an empty table gives an empty result of the same schema; repeated rows stay repeated rows.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +24,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 1 << 20
 #: Entries after which a worker's memo of words is emptied.
 MEMO = 400_000
+#: A key is hot from so many rows on, or from a MOST_HOT-th of all rows if that is more: so at most MOST_HOT keys are.
+HOT_ROWS, MOST_HOT = 10_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one for this session only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share. Only a local session that names none gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomgraph-')}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomgraph-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -55,6 +59,37 @@ def fresh(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def besides(columns: Collection[str], outputs: Collection[str]) -> list[str]:
+    """The columns that no output replaces; Spark ignores case."""
+    low = {x.lower() for x in outputs}
+    return [c for c in columns if c.lower() not in low]
+
+
+def join_sized(rows: DataFrame, table: DataFrame, keys: Sequence[str], size: str, spread: Column) -> DataFrame:
+    """rows left joined with table, which has one row for each key and in `size` how many of `rows` have the key.
+
+    Hot keys, MOST_HOT at most, are met by a broadcast; the others by a shuffle in which no key has more rows than a hot
+    one's least. There the rows of hot keys are dealt out by `spread`. table should be stored: it is read three times.
+    """
+    values = besides(table.columns, [*keys, size])
+    total, most = table.agg(F.sum(size), F.max(size)).first()
+    limit = max(HOT_ROWS, (total or 0) // MOST_HOT)
+    plain = table.drop(size)
+    if (most or 0) <= limit:
+        return rows.join(plain, list(keys), "left")
+    part, hot, cold = (fresh(x, [*rows.columns, *table.columns]) for x in ("part_", "hot_", "cold_"))
+    few = table.where(F.col(size) > limit).select(*keys, F.struct(*values).alias(hot))
+    met = rows.join(F.broadcast(few), list(keys), "left").withColumn(part, F.when(F.col(hot).isNull(), 0).otherwise(F.pmod(spread, F.lit(1 << 30)) + 1))
+    rest = table.where(F.col(size) <= limit).select(*keys, F.lit(0).cast("long").alias(part), F.struct(*values).alias(cold))
+    got = met.join(rest, [*keys, part], "left")
+    return got.select(*[col(c) for c in rows.columns], *[F.coalesce(F.col(f"{hot}.{v}"), F.col(f"{cold}.{v}")).alias(v) for v in values])
+
+
 def crc(column: Column | str) -> Column:
     """crc32 of the value as text; null for null."""
     column = F.col(column) if isinstance(column, str) else column
@@ -83,11 +118,10 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], Sequence]]
     make() runs once in each task and gives a function from a list of texts to one sequence for each of `fields`.
     The columns of `keep` pass through unchanged, except those that `fields` replace.
     """
-    new = {f.name.lower() for f in fields}
-    keep = [c for c in keep if c.lower() not in new and (keep_text or c != text)]
+    keep = [c for c in besides(keep, [f.name for f in fields]) if keep_text or c.lower() != text.lower()]
     inner = fresh("text_", keep)
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(inner))
-    schema = T.StructType([*(src.schema[c] for c in keep), *fields])
+    src = df.select(*[col(c) for c in keep], F.coalesce(col(text).cast("string"), F.lit("")).alias(inner))
+    schema = T.StructType([*src.schema.fields[: len(keep)], *fields])
     arrow = to_arrow_schema(schema)
     k = len(keep)
 

@@ -1,101 +1,80 @@
 """Sharding by extendible hashing.
 
-The directory is a trie over the bits of a row's hash. Bytes are summed for cells of CELL_BITS bits; only cells that are
-over the limit are looked at again, with more bits. A shard is the shortest prefix of the bits whose rows fit the limit,
-so only oversized buckets are ever split. Sums are taken before any shuffle, so a hot cell is a row for each task.
+The directory is an array of cells, one for each prefix of the hash of so many bits; a cell names its bucket, the
+shortest prefix whose rows fit the limit. Bytes are summed by cell before any shuffle, so a hot cell is one row for each
+task. Only cells that are over the limit get a directory of their own, with CELL_BITS more bits, and so on.
 
-The hash has 60 bits of the key's MD5, and as many more of the key, the row's number and the row's size: rows of one key
-that exceed the limit together are divided by those. A row larger than the limit has a shard of its own.
+The first hash has 60 bits of the key's MD5. Rows of one key that exceed the limit together are divided by further
+hashes, of the key, the row's number and its size, each level by level like the first, until every shard fits. A row
+larger than the limit has a shard of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fresh, stored
+from loomgraph.llm.common import besides, col, fresh, stored
 
 HASH_BITS = 60
 CELL_BITS = 12
+OUTPUTS = ("shard", "depth", "shard_bytes", "shard_rows")
 
 
 def hash60(column: Column) -> Column:
     return F.conv(F.substring(F.md5(column.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def _prefix(h: Column, depth: Column | int) -> Column:
-    n = F.lit(HASH_BITS) - (F.lit(depth) if isinstance(depth, int) else depth)
-    return F.call_function("shiftright", h, n.cast("int"))
+def _prefix(h: Column, depth: int) -> Column:
+    return F.call_function("shiftright", h, F.lit(HASH_BITS - depth))
 
 
 def _directory(cells: DataFrame, limit: int, least: int, bits: int) -> DataFrame:
-    """(prefix, depth, bytes, n): the shortest prefixes, deeper than `least`, that fit; prefixes at depth `bits` stay as they are."""
-    levels = cells.select("cell", "bytes", "n", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("depth"))
-    sums = levels.groupBy("depth", F.call_function("shiftright", F.col("cell"), (F.lit(bits) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-    fits = (F.col("bytes") <= limit) | (F.col("depth") == bits) | (F.col("n") == 1)
-    # A prefix is a shard if it fits and the prefix above does not.
-    up = sums.where(~fits).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-    return sums.where(fits).join(up, ["depth", "prefix"], "left_semi").unionByName(sums.where(fits & (F.col("depth") == least)))
+    """(top, cell, depth, prefix, bytes, n): the bucket of each cell; no bucket if the cell alone is over the limit.
+
+    cells: (top, cell, bytes, n), cells of `bits` bits below the prefix that `top` names; prefixes of `least` bits are
+    known to be over the limit, but for least 0.
+    """
+    levels = cells.select("top", "cell", "bytes", "n", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("depth"))
+    levels = levels.withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(bits) - F.col("depth")).cast("int")))
+    sums = levels.groupBy("top", "depth", "prefix").agg(F.sum("bytes").alias("sum"), F.sum("n").alias("rows"))
+    fit = sums.where((F.col("sum") <= limit) | (F.col("rows") == 1))
+    # Prefixes below one that fits do so too: a cell's bucket is the shortest of its own.
+    best = levels.select("top", "cell", "depth", "prefix").join(fit, ["top", "depth", "prefix"]).groupBy("top", "cell").agg(F.min(F.struct("depth", "prefix", F.col("sum").alias("bytes"), F.col("rows").alias("n"))).alias("b"))
+    return best.select("top", "cell", "b.*")
 
 
 def shards(df: DataFrame, limit: int, key: Sequence[str] = ("doc_id",), size: Column | None = None, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """`keep` (the key by default), shard (bits of its prefix as text), depth, shard_bytes and shard_rows.
+    """`keep` (the key by default), shard (bits of its prefix as text), depth, shard_bytes and shard_rows, a row for each row.
 
-    size: bytes of a row; those of the UTF-8 text by default, null counting as 0. Null keys hash like the empty text.
-    Every shard has at most `limit` bytes unless it holds one row only.
+    size: bytes of a row; those of the UTF-8 text by default. Null or negative sizes, null and empty texts count as 0.
+    Null keys hash like the empty text. Every shard has at most `limit` bytes unless it holds one row only; rows of
+    equal keys, repeated rows too, share a shard if they fit one. Ties don't arise: a row's hashes place it. An empty
+    table gives no rows. Columns of `keep` named like an output are replaced.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    size = F.octet_length(F.col(text)) if size is None else size
-    cols = list(key if keep is None else keep)
-    names = [fresh(c, cols) for c in ("hash_", "bytes_", "row_", "more_")]
-    h, b, row, more = names
-    joined = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
-    rows = stored(df.select(*[F.col(c) for c in cols if c not in ("shard", "depth", "shard_bytes", "shard_rows")], hash60(joined).alias(h), F.coalesce(size.cast("long"), F.lit(0)).alias(b), F.monotonically_increasing_id().alias(row)), "shard-rows")
-    rows = rows.withColumn(more, hash60(F.concat_ws("\x1f", F.col(h), F.col(row), F.col(b))))
-
-    def of(part: DataFrame, column: str, least: int, bits: int) -> DataFrame:
-        cells = part.groupBy(_prefix(F.col(column), bits).alias("cell")).agg(F.sum(b).alias("bytes"), F.count(F.lit(1)).alias("n"))
-        return stored(_directory(cells, limit, least, bits), "shard-directory")
-
-    # Each step knows shards of up to `bits` bits; what is too large there goes on to the next.
-    steps = [(h, d) for d in range(CELL_BITS, HASH_BITS + 1, CELL_BITS)]
-    part, least, found = rows, 0, None
-    for column, bits in steps:
-        table = of(part, column, least, bits)
-        over = (F.col("bytes") > limit) & (F.col("depth") == bits) & (F.col("n") > 1)
-        here = table.where(~over).select("prefix", "depth", "bytes", "n")
-        found = here if found is None else found.unionByName(here)
-        large = table.where(over).select("prefix")
-        if large.isEmpty():
-            large = None
-            break
-        part, least = part.join(large, _prefix(F.col(column), bits) == F.col("prefix"), "left_semi"), bits
-    label = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth").cast("int"), "0"))
-    table = found.select(F.col("depth").cast("int").alias("depth"), "prefix", F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"), label.alias("shard"))
-    # A row belongs to the shard that one of its prefixes names: only the depths in use are tried.
-    depths = sorted(r[0] for r in table.select("depth").distinct().collect())  # 61 values at most
-    out_cols = [c for c in rows.columns if c not in names]
-    tried = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col(h), d).alias("prefix")) for d in depths]) if depths else F.array()
-    if not depths:
-        return rows.select(*out_cols, F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).cast("long").alias("shard_rows")).limit(0)
-    if large is None:
-        return rows.select(*out_cols, F.explode(tried).alias("t")).select(*out_cols, F.col("t.depth").alias("depth"), F.col("t.prefix").alias("prefix")).join(table, ["depth", "prefix"]).select(*out_cols, "shard", "depth", "shard_bytes", "shard_rows")
-    # Rows of equal key hashes that exceed the limit: divided by the second hash, the same way, within their prefix.
-    hot = rows.join(large, F.col(h) == F.col("prefix"), "left_semi")
-    done = rows.join(large, F.col(h) == F.col("prefix"), "left_anti").select(*out_cols, F.explode(tried).alias("t")).select(*out_cols, F.col("t.depth").alias("depth"), F.col("t.prefix").alias("prefix")).join(table, ["depth", "prefix"]).select(*out_cols, "shard", "depth", "shard_bytes", "shard_rows")
-    # Parts by the second hash: so many bits that parts hold half the limit on average, then trie levels as above per key.
-    cell = hot.groupBy(h, _prefix(F.col(more), 2 * CELL_BITS).alias("cell")).agg(F.sum(b).alias("bytes"), F.count(F.lit(1)).alias("n"))
-    bits = 2 * CELL_BITS
-    levels = cell.select(h, "cell", "bytes", "n", F.explode(F.sequence(F.lit(1), F.lit(bits))).alias("depth"))
-    sums = levels.groupBy(h, "depth", F.call_function("shiftright", F.col("cell"), (F.lit(bits) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-    fits = (F.col("bytes") <= limit) | (F.col("depth") == bits) | (F.col("n") == 1)
-    up = sums.where(~fits).select(h, (F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-    second = stored(sums.where(fits).join(up, [h, "depth", "prefix"], "left_semi").unionByName(sums.where(fits & (F.col("depth") == 1))), "shard-second")
-    inner = [r[0] for r in second.select("depth").distinct().collect()]
-    tried = F.array(*[F.struct(F.lit(d).alias("depth"), _prefix(F.col(more), d).alias("prefix")) for d in sorted(inner)])
-    split = hot.select(*out_cols, h, F.explode(tried).alias("t")).select(*out_cols, h, F.col("t.depth").alias("depth"), F.col("t.prefix").alias("prefix")).join(second, [h, "depth", "prefix"])
-    name = F.concat(F.lpad(F.bin(h), HASH_BITS, "0"), F.lit("+"), F.lpad(F.bin("prefix"), F.col("depth").cast("int"), "0"))
-    return done.unionByName(split.select(*out_cols, name.alias("shard"), (F.col("depth") + HASH_BITS).cast("int").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows")))
+    size = F.octet_length(col(text)) if size is None else size
+    cols = besides(key if keep is None else keep, OUTPUTS)
+    h, b, row, top = (fresh(c, cols) for c in ("hash_", "bytes_", "row_", "top_"))
+    joined = F.concat_ws("\x1f", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in key])
+    part = stored(df.select(*[col(c) for c in cols], hash60(joined).alias(h), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias(b), F.monotonically_increasing_id().alias(row)), "shard-rows")
+    part = part.withColumn(top, F.lit(""))
+    done, least, turn = [], 0, 0
+    while True:
+        bits = least + CELL_BITS
+        cells = stored(part.groupBy(F.col(top).alias("top"), _prefix(F.col(h), bits).alias("cell")).agg(F.sum(b).alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-cells")
+        known = stored(_directory(cells, limit, least, bits), "shard-directory")
+        at = (F.col(top) == known["top"]) & (_prefix(F.col(h), bits) == known["cell"])
+        name = F.concat(known["top"], F.when(known["depth"] == 0, "").otherwise(F.lpad(F.bin(known["prefix"]), known["depth"], "0")))
+        done.append(part.join(known, at).select(*[col(c) for c in cols], name.alias("shard"), (known["depth"] + HASH_BITS * turn).cast("int").alias("depth"), known["bytes"].alias("shard_bytes"), known["n"].alias("shard_rows")))
+        over = stored(cells.join(known.select("top", "cell"), ["top", "cell"], "left_anti").select("top", "cell"), "shard-over")
+        if over.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        part, least = part.join(over, (F.col(top) == over["top"]) & (_prefix(F.col(h), bits) == over["cell"]), "left_semi"), bits
+        if bits == HASH_BITS:  # whole hashes are equal: the next hash takes the row's number too
+            part = part.withColumn(top, F.concat(F.col(top), F.lpad(F.bin(h), HASH_BITS, "0"), F.lit("+"))).withColumn(h, hash60(F.concat_ws("\x1f", top, row, b)))
+            part, least, turn = stored(part, "shard-hot"), 0, turn + 1
