@@ -1,12 +1,14 @@
 """WARC archives and their two-level capture index.
 
-Writing: each task writes its rows as one archive, a gzip member for each record, under a name of its own attempt, and
-moves it to its final name when it is whole; a task that runs again writes the same bytes. Archives lie in the shared
-folder, reached through pyarrow's file systems.
+Writing: each attempt of a task writes its rows as one archive, a gzip member for each record, under a name of its own,
+which its capture lines carry. Only lines of attempts that Spark commits are kept, so what a lost or repeated attempt
+wrote is never read. Archives lie in the shared folder, reached through pyarrow's file systems.
 
 Index: capture lines are sorted by reversed-host URL key into compressed blocks; a sparse directory keeps each block's
-first key. A look-up finds blocks by binary search in the directory, a line by binary search in the block, and reads one
-range of one archive. The directory has at most DIRECTORY entries: blocks grow with the number of captures.
+first and last key. A look-up finds blocks by binary search in the directory, lines by binary search in the block, and
+reads one range of one archive for each. The directory has at most DIRECTORY entries of at most KEY characters a key:
+blocks grow with the number of captures. Wanted keys are dealt to blocks in lots of LOT, so a key with many captures is
+read from as many blocks as it fills, and no task holds more than a block and a lot.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import shared_path, slices, stored
+from loomgraph.llm.common import col, join_sized, shared_path, slices, stored
 
 LINES = 2000
 DIRECTORY = 200_000
+#: Characters of a key that the directory holds at most; a longer one is cut, and blocks around it are looked into.
+KEY = 256
+LOT = 4096
 EMPTY_DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -97,13 +102,17 @@ def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def classify(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """page (text), url, payload, size, sha, kind and of: which rows are revisits, by digest and length of the payload."""
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    """id, url, payload, size and of (the response that a revisit refers to), by digest and length of the payload.
+
+    Null html is the empty payload. Of equal payloads the smallest id is the response; rows without an id are revisits
+    of it, or responses if none has an id. Many equal payloads don't meet in one task.
+    """
+    payload = F.coalesce(col(html), F.lit("")).cast("binary")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col(page_id).alias("id"), url.alias("url"), payload.alias("payload")).withColumn("hex", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
-    first = rows.where(F.col("size") >= least).groupBy("hex", "size").agg(F.min("id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1 and of is not null").select("hex", "size", "of")
-    # Only what repeats is joined back; the rows themselves, with their payloads, are dealt out at most once.
-    return rows.join(first, ["hex", "size"], "left").select("id", "url", "payload", "size", F.when(F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("of")), F.col("of")).alias("of"))
+    rows = pages.select(col(page_id).alias("id"), url.alias("url"), payload.alias("payload")).withColumn("hex", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
+    first = stored(rows.where(F.col("size") >= least).groupBy("hex", "size").agg(F.min("id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1 and of is not null"), "warc-first")
+    met = join_sized(rows, first, ["hex", "size"], "n", F.xxhash64("id", "url"))
+    return met.select("id", "url", "payload", "size", F.when(F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("of")), F.col("of")).alias("of"))
 
 
 INDEX = "key string, page string, file string, offset long, length long, sha string"
@@ -123,23 +132,30 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", html: str = "
         task = TaskContext.get()
         fs, base = _file_system(folder)
         fs.create_dir(base, recursive=True)
-        name = f"part-{task.partitionId():05d}.warc.gz"
-        draft = f"{base}/.{name}.{task.taskAttemptId()}"
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         lines, at, out = [], 0, None
+
+        def batch():
+            got = pa.RecordBatch.from_pylist([dict(zip(("key", "page", "file", "offset", "length", "sha"), x, strict=True)) for x in lines])
+            lines.clear()
+            return got
+
         for whole in batches:
             for b in slices(whole, "payload"):
                 for page, url, payload, of in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    out = out or fs.open_output_stream(draft, compression=None)
+                    out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
                     page = "" if page is None else page
                     sha = digest(payload)
                     packed = gzip.compress(record("response" if of is None else "revisit", page, url, payload, sha, of), level, mtime=0)
                     out.write(packed)
                     lines.append((url_key(url), page, name, at, len(packed), sha))
                     at += len(packed)
+                if len(lines) >= 10_000:  # kept only if the task ends well, and then the archive is whole
+                    yield batch()
         if out is not None:
             out.close()
-            fs.move(draft, f"{base}/{name}")
-            yield pa.RecordBatch.from_pylist([dict(zip(("key", "page", "file", "offset", "length", "sha"), x, strict=True)) for x in lines])
+        if lines:
+            yield batch()
 
     return stored(rows.mapInArrow(run, INDEX), "warc-lines")
 
@@ -173,70 +189,78 @@ def build_index(lines: DataFrame, per_block: int = LINES) -> DataFrame:
 
 
 def directory(index: DataFrame) -> list[tuple[str, str, str]]:
-    """(first key, last key, block) of every block, sorted: at most DIRECTORY entries, so executors may hold it."""
-    return sorted((r["first"], r["last"], r["block"]) for r in index.select("first", "last", "block").toLocalIterator())
+    """(first key, last key, block) of every block, sorted: at most DIRECTORY entries, so executors may hold it.
+
+    A key that is cut stands for the least of its beginnings as a first, for the greatest as a last one.
+    """
+    rows = index.select(F.substring("first", 1, KEY), F.when(F.length("last") > KEY, F.concat(F.substring("last", 1, KEY), F.lit("\U0010ffff"))).otherwise(F.col("last")), "block")
+    return sorted(tuple(r) for r in rows.toLocalIterator())
 
 
-def blocks_of(entries: list[tuple[str, str, str]], key: str) -> list[str]:
-    """Blocks that may hold the key: binary search for the last block that begins before it, and those that begin with it."""
-    at = max(bisect.bisect_left(entries, (key,)) - 1, 0)
-    out = []
-    while at < len(entries) and entries[at][0] <= key:
-        if entries[at][1] >= key:
-            out.append(entries[at][2])
-        at += 1
-    return out
+class Directory:
+    """The sparse directory in memory, searched by halving."""
 
+    def __init__(self, entries: list[tuple[str, str, str]]):
+        self.first, self.last, self.block = ([e[k] for e in entries] for k in range(3))
 
-def look_up(index: DataFrame, folder: str, wanted: DataFrame | None = None, url: str = "url") -> DataFrame:
-    """Records by URL, read back from the archives: page, kind, of, size, sha, payload, ok.
+    def blocks_of(self, key: str) -> list[str]:
+        """Blocks that may hold the key: blocks are sorted, so those between the first that ends at or after it and the last that begins at or before it."""
+        return self.block[bisect.bisect_left(self.last, key) : bisect.bisect_right(self.first, key)]
 
-    wanted: a frame with a URL column; without one every capture is read, block by block. ok is false for a record
-    whose payload doesn't have the digest of its header and its capture line.
+
+def look_up(index: DataFrame, folder: str, wanted: DataFrame, url: str = "url") -> DataFrame:
+    """Records by URL, read back from the archives: page, kind, of, size, sha, payload, ok; one for each capture of a wanted URL.
+
+    wanted: a frame with a URL column; repeated URLs are looked up once, null ones are the empty URL. ok is false for a
+    record whose payload doesn't have the digest of its header and its capture line.
     """
     spark = index.sparkSession
     fields = T.StructType([T.StructField("page", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("of", T.StringType()), T.StructField("size", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("ok", T.BooleanType())])
-    if wanted is not None:
-        entries = spark.sparkContext.broadcast(directory(index))
+    known = spark.sparkContext.broadcast(Directory(directory(index)))
 
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hits = [(x, k) for k in {url_key(u) for u in b.column(0).to_pylist()} for x in blocks_of(entries.value, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hits], pa.string()), pa.array([k for _, k in hits], pa.string())], names=["block", "key"])
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in batches:
+            keys = {url_key(u) for u in b.column(0).to_pylist()} - seen
+            if len(seen) < 100_000:
+                seen |= keys
+            hits = [(x, k) for k in keys for x in known.value.blocks_of(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hits], pa.string()), pa.array([k for _, k in hits], pa.string())], names=["block", "key"])
 
-        keys = wanted.select(F.col(url).cast("string")).mapInArrow(route, "block string, key string").dropDuplicates()
-        src = index.select("block", "data").join(keys, "block").select("data", "key")
-    else:
-        src = index.select("data", F.lit(None).cast("string").alias("key"))
+    keys = stored(wanted.select(col(url).cast("string")).mapInArrow(route, "block string, key string").dropDuplicates(), "warc-wanted")
+    lots = keys.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LOT).alias("lots"))
+    dealt = keys.join(lots, "block").groupBy("block", F.pmod(F.xxhash64("key"), F.col("lots")).alias("lot")).agg(F.collect_list("key").alias("keys"))
+    src = index.select("block", "data").join(dealt, "block").select("data", "keys")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _file_system(folder)
         files: dict[str, pa.NativeFile] = {}
-        for b in batches:
-            for data, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")[:-1]]
-                if key is not None:
-                    first = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                    last = bisect.bisect_right(lines, key, key=lambda x: x[0])
-                    lines = lines[first:last]
-                lines.sort(key=lambda x: (x[2], x[3]))
+        for data, keys in ((d.as_py(), k.as_py()) for b in batches for d, k in zip(b.column(0), b.column(1), strict=True)):
+            block = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")[:-1]]
+            first, lines = [x[0] for x in block], []
+            for key in keys:
+                lines += block[bisect.bisect_left(first, key) : bisect.bisect_right(first, key)]
+            yield from records(fs, base, files, lines)
+
+    def records(fs, base, files, lines) -> Iterator[pa.RecordBatch]:
+        lines.sort(key=lambda x: (x[2], x[3]))
+        out, held = [], 0
+        for _, _, name, offset, length, sha in lines:
+            if name not in files:
+                if len(files) > 64:
+                    files.clear()
+                files[name] = fs.open_input_file(f"{base}/{name}")
+            head, payload = parse(gzip.decompress(files[name].read_at(length, offset)))
+            said = head["warc-payload-digest"].removeprefix("sha1:")
+            kind = head["warc-type"]
+            good = said == sha and (kind == "revisit" or digest(payload) == sha)
+            out.append((head["x-page-id"], kind, head.get("x-refers-to-page"), int(head["x-payload-length"]) if kind == "revisit" else len(payload), said, payload, good))
+            held += len(payload)
+            if held > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), TYPES, strict=True)], names=fields.names)
                 out, held = [], 0
-                for _, _, name, offset, length, sha in lines:
-                    if name not in files:
-                        if len(files) > 64:
-                            files.clear()
-                        files[name] = fs.open_input_file(f"{base}/{name}")
-                    head, payload = parse(gzip.decompress(files[name].read_at(length, offset)))
-                    said = head["warc-payload-digest"].removeprefix("sha1:")
-                    kind = head["warc-type"]
-                    good = said == sha and (kind == "revisit" or digest(payload) == sha)
-                    out.append((head["x-page-id"], kind, head.get("x-refers-to-page"), int(head["x-payload-length"]) if kind == "revisit" else len(payload), said, payload, good))
-                    held += len(payload)
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), TYPES, strict=True)], names=fields.names)
-                        out, held = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), TYPES, strict=True)], names=fields.names)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out, strict=True), TYPES, strict=True)], names=fields.names)
 
     return src.mapInArrow(read, fields)
 
@@ -244,8 +268,8 @@ def look_up(index: DataFrame, folder: str, wanted: DataFrame | None = None, url:
 TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
 
 
-def scan(spark, folder: str) -> DataFrame:
-    """Every record of the archives from first to last byte, without the index: path and the records' fields."""
+def scan(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
+    """Every record of the archives that the capture lines name, from first to last byte: path and the records' fields."""
 
     kinds = pa.schema([("path", pa.string()), ("page", pa.string()), ("kind", pa.string()), ("of", pa.string()), ("size", pa.int64()), ("sha", pa.string())])
 
@@ -258,14 +282,21 @@ def scan(spark, folder: str) -> DataFrame:
                     content = z.unused_data
                     yield pa.RecordBatch.from_pylist([{"path": path, "page": head["x-page-id"], "kind": head["warc-type"], "of": head.get("x-refers-to-page"), "size": int(head["x-payload-length"]), "sha": head["warc-payload-digest"].removeprefix("sha1:")}], schema=kinds)
 
-    return spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").select("path", "content").mapInArrow(run, "path string, page string, kind string, of string, size long, sha string")
+    named = lines.select(F.col("file").alias("name")).dropDuplicates()
+    found = spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").withColumn("name", F.element_at(F.split("path", "/"), -1)).join(named, "name", "left_semi")
+    return found.select("path", "content").mapInArrow(run, "path string, page string, kind string, of string, size long, sha string")
 
 
 def archive(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """Writes, indexes and reads back: page_id, payload_bytes, payload_digest, record_type, refers_to, intact; a row for each row."""
+    """Writes, indexes and reads back by URL: page_id, payload_bytes, payload_digest, record_type, refers_to, intact; a row for each row.
+
+    Every page is found again by its own URL through directory and blocks. Null html and null URLs are the empty ones;
+    rows that repeat an id are captures of their own; an empty table gives no rows; other columns are not used.
+    """
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
-    kind = pages.schema[page_id].dataType
-    got = look_up(build_index(write(pages, folder, page_id, html, least)), folder)
+    kind = next(f.dataType for f in pages.schema.fields if f.name.lower() == page_id.lower())
+    urls = pages.select("url") if "url" in pages.columns else spark.createDataFrame([(None,)], "url string")
+    got = look_up(build_index(write(pages, folder, page_id, html, least)), folder, urls)
     back: Column = F.when(F.col("page") != "", F.col("page")).cast(kind)
     return got.select(back.alias("page_id"), F.col("size").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("of").cast(kind).alias("refers_to"), F.col("ok").alias("intact"))
