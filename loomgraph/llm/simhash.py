@@ -1,13 +1,12 @@
 """SimHash near-duplicates through an inverted index of byte positions.
 
-A fingerprint has eight bytes. Two that differ in at most four bits share at least four (position, byte) entries: the
-guaranteed minimum. Postings of single bytes would hold a 256th of all rows, so an index entry joins three positions:
-20 of the 56 triples are enough that any four of eight positions hold one (a Turan system: two groups of four
-positions; the triples inside a group, and those with two from the first and one from the second... see TRIPLES, which
-is built and checked by rule). Pairs of an entry are tallied by shared positional bytes, those with four or more stay,
-and the bits are compared.
-
-Equal fingerprints are one class from the start, so copies are never expanded into pairs. Entries with many different
+A fingerprint has eight bytes. Two that differ in at most four bits share at least four (position, byte) postings: the
+guaranteed minimum. Lists of single postings would hold a 256th of all fingerprints each, so lists are kept by three
+positions at once: TRIPLES are so chosen that any four of the eight positions hold one of them. Those in a list share
+three postings; the lists of the other five positions, kept within it, are merged and each pair's shared postings are
+tallied. Only pairs whose tally reaches the minimum are verified by their bits.
+
+Equal fingerprints are one class from the start, so copies are never expanded into pairs. Lists with many different
 fingerprints are refined by a fourth position, which keeps every pair with four shared bytes, and what stays large is
 cut into blocks compared two by two in separate tasks. A task returns a spanning forest of its links, never all pairs.
 Components come from alternating large-star and small-star rounds, each written to the shared folder.
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import fresh, map_texts, stored
+from loomgraph.llm.common import besides, col, fresh, join_sized, map_texts, stored
 
 BYTES = 8
 #: Fingerprints of an index entry that are compared in one piece; twice as many at most meet in a task's cell.
@@ -86,34 +85,53 @@ def _entry(fp: Column, positions: Sequence[int], number: int) -> Column:
     return key
 
 
+def tally(prints: np.ndarray, left: int | None = None) -> np.ndarray:
+    """How many postings each pair shares, summed over the lists of all (position, byte); left: only pairs of the first `left` with the others."""
+    n = prints.size
+    shared = np.zeros((n, n), np.uint8)
+    codes = prints.view(np.uint8).reshape(n, BYTES)
+    for i in range(BYTES):
+        order = np.argsort(codes[:, i], kind="stable")
+        cuts = np.flatnonzero(np.diff(codes[order, i])) + 1
+        for members in np.split(order, cuts) if cuts.size else [order]:
+            if members.size == n:
+                shared += 1
+            elif members.size > 1:
+                if left is None:
+                    shared[members[:, None], members] += 1
+                else:
+                    a, b = members[members < left], members[members >= left]
+                    shared[a[:, None], b] += 1
+    return shared
+
+
 def _cell_links(most_bits: int, least_bytes: int):
     """A function over the cells of Arrow batches: links of each cell as a spanning forest."""
 
     def links(a: np.ndarray, b: np.ndarray | None) -> list[tuple[int, int]]:
         all_ = a if b is None else np.concatenate([a, b])
-        adj = np.zeros((all_.size, all_.size), bool)
-        x = all_[:, None] ^ all_[None, :]
-        shared = np.zeros(x.shape, np.uint8)
-        for i in range(BYTES):
-            shared += ((x >> np.uint64(8 * i)) & np.uint64(255)) == 0
-        adj = (shared >= least_bytes) & (np.bitwise_count(x) <= most_bits)
-        np.fill_diagonal(adj, False)
-        if b is not None:  # links inside a block belong to that block's own cell
-            adj[: a.size, : a.size] = False
-            adj[a.size :, a.size :] = False
-        out, todo = [], adj.any(1)
+        if all_.size == 2:
+            x = all_[0] ^ all_[1]
+            near = sum(v == 0 for v in int(x).to_bytes(BYTES, "big")) >= least_bytes and int(x).bit_count() <= most_bits
+            return [tuple(all_.view(np.int64).tolist())] if near else []
+        i, j = np.nonzero(tally(all_, None if b is None else a.size) >= least_bytes)
+        fit = (i < j) if b is None else (i < a.size) & (j >= a.size)  # links inside a block belong to that block's own cell
+        i, j = i[fit], j[fit]
+        near = np.bitwise_count(all_[i] ^ all_[j]) <= most_bits
+        i, j = i[near], j[near]
+        # A spanning forest: each node takes the smallest number among its neighbours' until none changes.
+        root = np.arange(all_.size)
+        while i.size:
+            low = np.minimum(root[i], root[j])
+            new = root.copy()
+            np.minimum.at(new, root[i], low)
+            np.minimum.at(new, root[j], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
         signed = all_.view(np.int64)
-        while todo.any():
-            root = int(todo.argmax())
-            seen = np.zeros(all_.size, bool)
-            seen[root] = True
-            front = seen.copy()
-            while front.any():
-                front = adj[front].any(0) & ~seen
-                seen |= front
-            todo &= ~seen
-            out += [(int(signed[root]), int(signed[k])) for k in np.flatnonzero(seen) if k != root]
-        return out
+        return [(int(signed[r]), int(signed[k])) for k, r in enumerate(root.tolist()) if r != k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,17 +180,20 @@ def links(fps: DataFrame, fp: str = "fp", most_bits: int = 4, block: int = BLOCK
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of (a, b) reaches. Rounds grow with the log of the diameter."""
+    """(node, root): the smallest node that each node of (a, b) reaches. Rounds grow with the log of the diameter; hubs are split.
+
+    Loops, repeated edges and their directions don't matter; an empty table gives no rows.
+    """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).dropDuplicates(), "cc")
     mark = None
     for _ in range(most_rounds):
         # Large star: each larger neighbour is tied to the smallest neighbour (or the node itself).
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).dropDuplicates()
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        star = stored(join_sized(both.where("v > u"), least, ["u"], "n", F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).dropDuplicates(), "cc-star")
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
-        least = star.groupBy("u").agg(F.min("v").alias("m"))
-        edges = star.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).dropDuplicates()
+        least = stored(star.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        edges = join_sized(star, least, ["u"], "n", F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).dropDuplicates()
         edges = stored(edges, "cc")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -184,25 +205,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: Sequence[str] | None = None, size: int = 4, most_bits: int = 4, block: int = BLOCK) -> DataFrame:
     """`keep` (doc_id by default), fp, fingerprint (hex), root and component_id, the smallest doc_id reachable over links.
 
-    One row for each row of df. Rows without an id take part; a component of such rows only has a null id. Ids may
-    repeat, so components may share a component_id; root, the smallest fingerprint reachable, is each one's own.
+    One row for each row of df, repeated rows too. Rows without an id take part; a component of such rows only has a null
+    id. Ids may repeat, so components may share a component_id; root, the smallest fingerprint reachable, is each one's
+    own. Null and empty texts have fingerprint zero and are linked like any other. Columns named like an output are
+    replaced. An empty table gives no rows.
     """
-    cols = [doc_id] if keep is None else list(keep)
-    prints = stored(fingerprints(df, text, [c for c in cols if c.lower() not in ("fp", "fingerprint", "root", "component_id")], size, "fp"), "simhash-prints")
-    classes = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "simhash-classes")
-    roots = components(links(classes.select("fp"), "fp", most_bits, block))
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    merged = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_prints"))
-    ids = member.join(merged, "root").select("fp", "root", "component_id")
-    return prints.join(ids, "fp").select(*[c for c in prints.columns if c != "fp"], "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
+    outputs = ("fp", "fingerprint", "root", "component_id")
+    cols = besides([doc_id] if keep is None else keep, outputs)
+    name = fresh("id_", [*cols, *outputs, "n"])
+    prints = stored(fingerprints(df.withColumn(name, col(doc_id)), text, [*cols, name], size, "fp"), "simhash-prints")
+    classes = stored(prints.groupBy("fp").agg(F.min(name).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    roots = components(links(classes.select("fp"), "fp", most_bits, block)).withColumnRenamed("node", "fp")
+    member = stored(classes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    merged = stored(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_prints")), "simhash-roots")
+    ids = stored(join_sized(member, merged, ["root"], "n_prints", F.xxhash64("fp")).select("fp", "n", "root", "component_id"), "simhash-ids")
+    got = join_sized(prints, ids, ["fp"], "n", F.xxhash64(name, F.monotonically_increasing_id()))
+    return got.select(*[col(c) for c in cols], "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", most_bits: int = 4) -> DataFrame:
-    """df with one row of each component: the one with the smallest id (of equal ids, the smallest of all columns)."""
-    row = fresh("row_", df.columns)
-    spark = df.sparkSession
-    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
-    found = near_duplicates(numbered, text, doc_id, [doc_id, row], most_bits=most_bits)
-    del spark
-    best = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))).alias("best")).select(F.col("best.row").alias(row))
-    return numbered.join(best, row, "left_semi").drop(row)
+    """df with one row of each component: the one with the smallest id (of equal ids, the first row), with all its columns.
+
+    Rows without an id come after all others; an empty table stays empty.
+    """
+    names = [fresh(c, df.columns) for c in ("row_", "id_")]
+    row, key = names
+    numbered = stored(df.select(*[col(c) for c in df.columns], F.monotonically_increasing_id().alias(row)), "dedup-rows")
+    found = near_duplicates(numbered.select(col(text).alias("text"), col(doc_id).alias(key), row), "text", key, [key, row], most_bits=most_bits)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row"))).alias("best")).select(F.col("best.row").alias(row))
+    return numbered.join(best, row, "left_semi").select(*[col(c) for c in df.columns])
