@@ -56,10 +56,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model, counts = hmm.fit(docs.where(~hmm.held_out()))
-    got = hmm.score(docs, model, counts)
-    return got.select("doc_id", hmm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", hmm.held_out().alias("held_out"))
+    model, counts = hmm.base_model(docs.where("not held_out"))
+    parts = hmm.encoded(docs, model, keep=["doc_id", "held_out"])
+    hmm.train(model, parts.where("not held_out"))
+    return hmm.score_parts(parts, model, counts).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
