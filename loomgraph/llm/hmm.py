@@ -19,10 +19,12 @@ them by a shuffle on the word; those words are rare by definition, so no key is
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ WORDS_A_CLASS, LEAST_CLASSES, MOST_CLASSES = 256, 64, 1 << 16
 STATES = 8
 WARM, WARM_SHARE = 6, 16
 #: Rounds over all training rows at most, and the gain in nats a token under which no further one is run.
-ROUNDS, SETTLED = 6, 0.004
+ROUNDS, SETTLED = 5, 0.006
 #: The corpus shares count as so many tokens of each state, and as these parts of a state's mean tokens (in the first rounds, in the others).
 PRIOR_TOKENS, WARM_PRIOR, PRIOR = 20.0, 0.5, 0.05
 CHUNK = 768
@@ -130,6 +132,12 @@ class Model:
         self.move = np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
         self.start = rng.dirichlet(np.full(STATES, 20.0))
 
+    def slim(self) -> Model:
+        """What recursions over symbols need."""
+        out = copy.copy(self)
+        out.ids, out.base, out.inner, out.sym = {}, None, None, None
+        return out
+
     @property
     def emit(self) -> np.ndarray:
         return self.ratio * self.share[:, None]
@@ -139,15 +147,8 @@ class Model:
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         """Symbols of the words, then the end."""
-        return self.symbols_of(words, np.array([self.ids.get(w, -1) for w in words], np.int64))
-
-    def symbols_of(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
-        out = np.empty(len(words) + 1, np.int32)
-        out[:-1] = self.sym[ids] if len(self.sym) else 0
-        for k in np.flatnonzero(ids < 0).tolist():
-            out[k] = self.n_emitted + self.class_of(words[k])
-        out[-1] = self.end
-        return out
+        got = [self.ids.get(w, -1) for w in words]
+        return np.array([self.sym[i] if i >= 0 else self.n_emitted + self.class_of(w) for i, w in zip(got, words, strict=True)] + [self.end], np.int32)
 
     def carried(self, b: np.ndarray, live: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Product of each piece's transition matrices, scaled, and the log of what was taken out. b: emissions (t, piece, state)."""
@@ -312,24 +313,29 @@ def encoded(df: DataFrame, model: Model, text: str = "text", keep: Sequence[str]
         end = math.log10(m.ends + 0.1) - m.unit
 
         def run(texts):
-            n, known, base, inner, n_rare, rare, symbols = [], [], [], [], [], [], []
-            for t in texts:
-                words = words_of(t)
-                a = np.array([m.ids.get(w, -1) for w in words], np.int64)
-                symbols.append(m.symbols_of(words, a).tobytes())
-                head = a[a >= 0]
-                miss = Counter([words[k] for k in np.flatnonzero(a < 0).tolist()]) if head.size < a.size else {}
-                n.append(len(words) + 1)
-                known.append(head.size + (m.ends > 0))
-                base.append((float(m.base[head].sum()) if head.size else 0.0) + end)
-                inside = float(m.inner[head].sum()) if head.size else 0.0
-                inner.append(inside - sum(k * float(m.class_log[m.class_of(w)]) for w, k in miss.items()))
-                n_rare.append(a.size - head.size)
-                rare.append(miss)
-            words = pa.array([w for r in rare for w in r], pa.binary())
-            times = pa.array([k for r in rare for k in r.values()], pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)), pa.StructArray.from_arrays([words, times], names=["word", "k"]))
-            return n, known, base, inner, n_rare, lists, symbols
+            split = [words_of(t) for t in texts]
+            size = np.fromiter(map(len, split), np.int64, len(split))
+            flat = list(chain.from_iterable(split))
+            a = np.fromiter(map(m.ids.get, flat, repeat(-1)), np.int64, len(flat))
+            miss = np.flatnonzero(a < 0)
+            sym = m.sym[a] if len(m.sym) else np.zeros(len(flat), np.int32)
+            base, inner = (x[a] if len(x) else np.zeros(len(flat)) for x in (m.base, m.inner))
+            rare = [flat[k] for k in miss.tolist()]
+            kind = np.fromiter(map(m.class_of, rare), np.int64, len(rare))
+            sym[miss], base[miss], inner[miss] = m.n_emitted + kind, 0.0, -m.class_log[kind]
+            stop = np.cumsum(size)
+            first = stop - size
+            ends = np.searchsorted(miss, np.stack([first, stop])).tolist()
+            few = [Counter(rare[x:y]) if y > x else {} for x, y in zip(*ends, strict=True)]
+            words = pa.array([w for r in few for w in r], pa.binary())
+            times = pa.array([k for r in few for k in r.values()], pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in few])]).astype(np.int32)), pa.StructArray.from_arrays([words, times], names=["word", "k"]))
+            last = np.int32(m.end).tobytes()
+            raw = [sym[x:y].tobytes() + last for x, y in zip(first.tolist(), stop.tolist(), strict=True)]
+            n_rare = np.array(ends[1]) - np.array(ends[0])
+            at = np.stack([first, stop])
+            sums = [np.concatenate([[0.0], np.cumsum(x)])[at] for x in (base, inner)]
+            return size + 1, size - n_rare + (m.ends > 0), sums[0][1] - sums[0][0] + end, sums[1][1] - sums[1][0], n_rare, lists, raw
 
         return run
 
@@ -346,7 +352,7 @@ def train(model: Model, parts: DataFrame, warm: int = WARM, rounds: int = ROUNDS
     schema = "symbol long, n double, ll double, " + ", ".join(f"s{k} float" for k in range(STATES))
     src = parts.select("symbols_", "rid_")
     for turn in range(warm + rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(model.slim())
         some = src.where(F.pmod(F.xxhash64("rid_"), F.lit(WARM_SHARE)) == turn) if turn < warm else src
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -409,7 +415,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", ke
 
 def score_parts(parts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """As score, from what encoded() gives."""
-    shared = parts.sparkSession.sparkContext.broadcast(model)
+    shared = parts.sparkSession.sparkContext.broadcast(model.slim())
     cols = besides(parts.columns, ["rid_", *(f.name for f in PARTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
