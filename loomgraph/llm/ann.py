@@ -4,12 +4,13 @@
 * A search puts the branches not taken of all trees into one priority queue by their distance to the split, and visits
   leaves in that order. How many leaves is measured, not guessed: for a few probe queries the exact neighbours are
   found in one pass over all rows, and the number is such that RECALL of them are met.
-* Visited rows are reranked by the exact distance in double precision.
+* Rows of visited leaves, and no others, are reranked by the exact distance in double precision. A row that lies in
+  visited leaves of several trees is computed once, in the first of them.
 
 Equal vectors are one row of the index with the k + 1 smallest ids, which is all that any answer can use, so a vector
 that makes up a third of the table costs no more than another. Rows of a few leaves form a group of bounded size; large
-leaves are dealt out over several groups. A bound on each query's k-th distance, taken from a part of the sample, keeps
-groups from returning rows that can't be among the k nearest.
+leaves are dealt out over several groups. Rows of the sample that a query's leaves hold bound its k-th distance, so
+groups don't return rows that can't be among the k nearest.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import col, stored
 
 TREES = 8
 SAMPLE = 32_768
+SAMPLE_BYTES = 64 << 20
 LEAF = 32
-PROBES = 48
-RECALL = 0.965
+PROBES = 64
+RECALL = 0.95
 GROUP_ROWS = 8192
+#: Rows of the sample among which a query's bound is looked for.
 BOUND_ROWS = 8192
 
 
@@ -93,6 +96,13 @@ class Forest:
             out.append((t, node - inner))
         return out
 
+    def visited(self, q: np.ndarray, most: int) -> np.ndarray:
+        """(tree, leaf): whether the leaf is among the first `most`."""
+        out = np.zeros((self.trees, self.leaves), bool)
+        for t, leaf in self.search(q, most):
+            out[t, leaf] = True
+        return out
+
 
 def _distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     d = rows - q
@@ -100,7 +110,10 @@ def _distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
+    """Doubles; the bytes of a vector hold them, or single-precision numbers where those are exact."""
+    raw = column.to_pylist()
+    kind = np.float32 if raw and len(raw[0]) == 4 * dim else np.float64
+    return np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(-1, dim)
 
 
 def valid(vector: Column) -> Column:
@@ -110,19 +123,23 @@ def valid(vector: Column) -> Column:
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query row, nearest first, ties to the smaller id.
+    """query_id, rank, vec_id, score, n_distances: the k nearest found of each query row, nearest first, ties to the smaller id.
 
-    Vectors that aren't valid(), rows without an id, and vectors of another length than most take no part. Rows that
-    repeat an id and a vector count once. Fewer than k candidates: all of them.
+    n_distances: of how many different vectors the query's distance was computed. Vectors that aren't valid(), rows
+    without an id, and vectors of another length than most take no part. Rows that repeat an id and a vector count once.
+    Fewer than k candidates: all of them. An empty table, or one without queries, gives no rows; other columns of any
+    name are not used.
     """
     spark = df.sparkSession
-    as_double = F.col(vector).cast("array<double>")
-    good = df.select(F.col(vec_id).cast("long").alias("id"), as_double.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & valid(F.col("v")))
+    as_double = col(vector).cast("array<double>")
+    single = "array<float>" in df.select(col(vector)).dtypes[0][1]
+    good = df.select(col(vec_id).cast("long").alias("id"), as_double.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("id").isNotNull() & valid(F.col("v")))
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, n_distances long")
     if not sizes:
         return empty
-    dim = sizes[0]["d"]
+    dim, kind = sizes[0]["d"], np.float32 if single else np.float64
+    sample = max(1024, min(sample, SAMPLE_BYTES // (8 * dim)))
     good = good.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
     # Classes of equal vectors: the k + 1 smallest distinct ids; repeated rows go first, so that they take no places.
     first = good.select("id", "v").dropDuplicates().withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
@@ -130,7 +147,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([pa.compute.list_element(b.column(1), 0), pa.array([r.tobytes() for r in flat], pa.binary()), b.column(1)], names=["rep", "x", "ids"])
 
     import pyarrow.compute  # noqa: F401
@@ -140,7 +157,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
 
     def packed_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat], pa.binary())], names=["query", "x"])
 
     asked = stored(queries.mapInArrow(packed_queries, "query long, x binary"), "ann-queries")
@@ -155,8 +172,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
     x = _vectors(some.column("x"), dim)
     forest = Forest(x, trees)
     part = np.random.default_rng(2).permutation(len(x))[:BOUND_ROWS]
-    bound_rows = x[part], some.column("rep").to_numpy()[part], some.column("ids").take(part).to_pylist()
-    shared = spark.sparkContext.broadcast((forest, bound_rows))
+    shared = spark.sparkContext.broadcast((forest, x[part], forest.place(x[part])))
 
     # Probes: exact neighbours of a few queries, in one pass over all rows.
     probe = asked.orderBy(F.xxhash64("query"), "query").limit(PROBES).toArrow()
@@ -185,7 +201,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
             met += [int(min(rank[t, leaf] for t, leaf in enumerate(leaves))) for q, leaves in zip(near["p"], near["leaf"], strict=True) if q == p]
         if met:
             most = int(np.quantile(met, recall, method="higher")) + 1
-            most = min(forest.trees * forest.leaves, most + max(8, most // 20))
+            most = min(forest.trees * forest.leaves, most + max(8, most // 25))
     bits = min(forest.depth, max(0, int(np.ceil(np.log2(max(n, 1) / GROUP_ROWS)))))
     down = forest.depth - bits
     blocks = max(1, int(np.ceil(n / (1 << bits) / GROUP_ROWS / 2)))
@@ -197,31 +213,26 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
             block = b.column(0).to_numpy() * 2654435761 % 4294967296 % blocks
             for t in range(f.trees):
                 group = ((t << bits) + (leaf[:, t] >> down)) * blocks + block
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(leaf[:, t]), b.column(0), b.column(1), b.column(2)], names=["g", "leaf", "rep", "x", "ids"])
+                before = pa.array([r.tobytes() for r in leaf[:, : t + 1].astype(np.int32)], pa.binary())  # the leaves in this and the trees before it
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(leaf[:, t]), before, b.column(0), b.column(1), b.column(2)], names=["g", "leaf", "leaves", "rep", "x", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (rows, _, _) = shared.value
+        f, rows, places = shared.value
+        trees = np.arange(f.trees)
         for b in batches:
             qs = _vectors(b.column(1), dim)
             for q, qid, raw in zip(qs, b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                d = np.sort(_distances(rows, q))
-                bound = float(d[k + 1]) if len(d) > k + 1 else float("inf")  # k + 2 vectors: one may be the query's own
-                to: dict[int, list[int]] = {}
-                for t, leaf in f.search(q, most):
-                    to.setdefault((t << bits) + (leaf >> down), []).append(leaf)
-                groups = [g * blocks + s for g in to for s in range(blocks)]
-                leaves = [x for x in to.values() for _ in range(blocks)]
+                d, want = _distances(rows, q), most
+                while True:
+                    seen = f.visited(q, want)
+                    met = np.sort(d[seen[trees, places].any(1)])
+                    if len(met) > k + 1 or want >= f.trees * f.leaves:
+                        break
+                    want *= 2  # leaves that hold next to nothing of the sample: on, until k are sure to be found
+                bound = float(met[k + 1]) * (1 + 1e-9) if len(met) > k + 1 else float("inf")  # k + 2 vectors: one may be the query's own
+                groups = [(int(g) * blocks + s) for g in np.unique((np.argwhere(seen) @ [1 << bits, 0]) + (np.nonzero(seen)[1] >> down)) for s in range(blocks)]
                 m = len(groups)
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), pa.array([qid] * m, pa.int64()), pa.array([raw] * m, pa.binary()), pa.array([bound] * m, pa.float64())], names=["g", "leaves", "query", "x", "bound"])
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows that made the bound: found too, so that no query has fewer than k for being cut by it."""
-        rows, rep, ids = shared.value[1]
-        for b in batches:
-            for q, qid in zip(_vectors(b.column(1), dim), b.column(0).to_pylist(), strict=True):
-                d = _distances(rows, q)
-                best = np.lexsort((rep, d))[: k + 2]
-                yield pa.RecordBatch.from_arrays([pa.array([qid] * len(best), pa.int64()), pa.array(rep[best]), pa.array(d[best]), pa.array([ids[i] for i in best], pa.list_(pa.int64()))], names=["query", "rep", "score", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([np.packbits(seen).tobytes()] * m, pa.binary()), pa.array([qid] * m, pa.int64()), pa.array([raw] * m, pa.binary()), pa.array([bound] * m, pa.float64())], names=["g", "seen", "query", "x", "bound"])
 
     def meet(rows, asked):
         import pandas as pd
@@ -229,24 +240,25 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
         out = []
         if len(rows) and len(asked):
             rows = rows.sort_values("leaf", kind="stable")
-            leaf = rows["leaf"].to_numpy()
-            x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(-1, dim)
-            ids = rows["ids"].tolist()
-            rep = rows["rep"].to_numpy()
-            for leaves, query, raw, bound in zip(asked["leaves"], asked["query"], asked["x"], asked["bound"], strict=True):
-                a = np.searchsorted(leaf, leaves, "left")
-                b = np.searchsorted(leaf, leaves, "right")
-                at = np.concatenate([np.arange(i, j) for i, j in zip(a, b, strict=True)])
-                d = _distances(x[at], np.frombuffer(raw, np.float64))
+            leaf, rep, ids = rows["leaf"].to_numpy(), rows["rep"].to_numpy(), rows["ids"].tolist()
+            x = _vectors(pa.array(rows["x"]), dim)
+            places = np.frombuffer(b"".join(rows["leaves"]), np.int32).reshape(len(rows), -1)
+            tree = places.shape[1] - 1
+            for raw_seen, query, raw, bound in zip(asked["seen"], asked["query"], asked["x"], asked["bound"], strict=True):
+                seen = np.unpackbits(np.frombuffer(raw_seen, np.uint8), count=trees * leaves).view(bool).reshape(trees, leaves)
+                at = np.flatnonzero(seen[tree, leaf])
+                for t in range(tree):  # computed in an earlier tree
+                    at = at[~seen[t, places[at, t]]]
+                d = _distances(x[at], np.frombuffer(raw, kind).astype(np.float64))
                 keep = np.flatnonzero(d <= bound)
                 best = keep[np.lexsort((rep[at[keep]], d[keep]))[: k + 1]]
-                out += [(query, int(rep[at[i]]), float(d[i]), ids[at[i]]) for i in best]
-        return pd.DataFrame(out, columns=["query", "rep", "score", "ids"])
-
-    rows = reps.mapInArrow(index, "g long, leaf long, rep long, x binary, ids array<long>")
-    routed = asked.mapInArrow(route, "g long, leaves array<long>, query long, x binary, bound double")
-    found = rows.groupBy("g").cogroup(routed.groupBy("g")).applyInPandas(meet, "query long, rep long, score double, ids array<long>")
-    found = found.unionByName(asked.mapInArrow(seeds, "query long, rep long, score double, ids array<long>")).dropDuplicates(["query", "rep"])
-    pairs = found.select(F.col("query").alias("query_id"), "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+                out += [(query, float(d[i]), len(at) if j == 0 else 0, ids[at[i]]) for j, i in enumerate(best)] or [(query, None, len(at), [])]
+        return pd.DataFrame(out, columns=["query", "score", "tried", "ids"])
+
+    leaves = forest.leaves
+    rows = reps.mapInArrow(index, "g long, leaf long, leaves binary, rep long, x binary, ids array<long>")
+    routed = asked.mapInArrow(route, "g long, seen binary, query long, x binary, bound double")
+    found = rows.groupBy("g").cogroup(routed.groupBy("g")).applyInPandas(meet, "query long, score double, tried long, ids array<long>")
+    own = Window.partitionBy("query_id")
+    pairs = found.withColumnRenamed("query", "query_id").withColumn("n_distances", F.sum("tried").over(own)).select("query_id", "score", "n_distances", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    return pairs.select("query_id", F.row_number().over(own.orderBy("score", "vec_id")).alias("rank"), "vec_id", "score", "n_distances").where(F.col("rank") <= k)
