@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 from collections.abc import Sequence
 
@@ -22,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import crc, map_texts, stored
+from loomgraph.llm.common import col, crc, map_texts, stored
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 SAMPLE = 24_000
+#: Texts of either class under which the model warns.
+LEAST_LABELS = 100
 #: A token or beginning counts if this many training texts hold it.
 LEAST_TEXTS = 3
 #: Weight of a prior, in texts.
@@ -159,23 +162,24 @@ class Scorer:
         x, strong = self.look(text)
         return float(1 / (1 + math.exp(-max(-50.0, min(50.0, float(x @ self.weights)))))), strong
 
-    def calibrate(self, texts: Sequence[str], toxic: Sequence[int]) -> None:
-        """Fits the extreme-value law on the texts that aren't toxic, then the logistic weights on all."""
-        tops, sizes = [], []
-        for t, y in zip(texts, toxic, strict=True):
-            w = self.walk(t)
-            if not y and len(w):
-                top = max((s for _, _, s in segments(w)), default=0.0)
-                tops.append(top)
-                sizes.append(len(w))
-        if len(tops) >= 20:
-            top, size = np.array(tops), np.log(np.array(sizes) + 1.0)
-            cut = top <= np.quantile(top, 0.98)  # a few wrong labels shall not set the law
-            slope = np.polyfit(size[cut], top[cut], 1)[0] if size[cut].std() > 0 else 0.0
-            spread = float(np.std(top[cut] - slope * size[cut])) or 1.0
-            self.rate = min(1 / max(slope, 1e-3), math.pi / math.sqrt(6) / spread)
-            self.log_k = self.rate * float(np.mean(top[cut] - size[cut] / self.rate)) - 0.5772
-        x = np.array([self.look(t)[0] for t in texts]).reshape(-1, 4)
+    def top(self, text: str) -> tuple[int, float]:
+        """Tokens, and the largest segment score (0: none)."""
+        w = self.walk(text)
+        return len(w), max((x for _, _, x in segments(w)), default=0.0) if len(w) else 0.0
+
+    def set_law(self, sizes: Sequence[int], tops: Sequence[float]) -> None:
+        """Fits the extreme-value law on texts that aren't toxic: their tokens and largest segment scores."""
+        if len(tops) < 20:
+            return
+        top, size = np.array(tops), np.log(np.array(sizes) + 1.0)
+        cut = top <= np.quantile(top, 0.98)  # a few wrong labels shall not set the law
+        slope = np.polyfit(size[cut], top[cut], 1)[0] if size[cut].std() > 0 else 0.0
+        spread = float(np.std(top[cut] - slope * size[cut])) or 1.0
+        self.rate = min(1 / max(slope, 1e-3), math.pi / math.sqrt(6) / spread)
+        self.log_k = self.rate * float(np.mean(top[cut] - size[cut] / self.rate)) - 0.5772
+
+    def set_weights(self, x: np.ndarray, toxic: Sequence[int]) -> None:
+        """Logistic regression on what look() says of labelled texts."""
         y = np.array(toxic, float)
         w = np.zeros(4)
         ridge = np.diag([1e-3, 0.1, 0.1, 0.1])
@@ -197,10 +201,17 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Scorer:
-    """Fits on at most `sample` labelled rows that aren't held out. Of several labels of an id the largest counts."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("y"))
-    chosen = known.orderBy(F.xxhash64(doc_id), doc_id).limit(sample)  # at most `sample` small rows, so it may be broadcast
-    part = stored(df.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), doc_id).select("t", "y", (F.pmod(F.xxhash64(doc_id), F.lit(4)) == 0).alias("calibrates")), "toxic-sample")
+    """Fits on at most `sample` labelled rows that aren't held out. Of several labels of an id the largest counts, of several texts the smallest.
+
+    Null labels and ids are left out, null texts are empty. Texts stay on the executors: keys are counted and calibration
+    texts are scored there. Warns if fewer than LEAST_LABELS labels of either class are at hand; with none at all (empty
+    tables) every text gets the score of no evidence.
+    """
+    known = labels.where(col(label).isNotNull() & col(doc_id).isNotNull() & ~held_out(col(doc_id))).groupBy(col(doc_id).alias("id")).agg(F.max(col(label).cast("int")).alias("y"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` small rows, so it may be broadcast
+    rows = df.select(col(doc_id).alias("id"), F.coalesce(col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
+    one = rows.groupBy("id", "y").agg(F.min("t").alias("t"))
+    part = stored(one.select("t", "y", (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("calibrates")), "toxic-sample")
     keyed = part.where(~F.col("calibrates"))
 
     def count(batches):
@@ -219,13 +230,33 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], type=t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["k", "toxic", "other"])
 
     counted = keyed.select("t", "y").mapInArrow(count, "k string, toxic long, other long").groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    got = counted.where((F.col("toxic") + F.col("other") >= LEAST_TEXTS) | (F.col("k") == "")).toArrow().to_pydict()  # bounded by the sample
+    got = counted.where((F.col("toxic") + F.col("other") >= LEAST_TEXTS) | (F.col("k") == "")).toArrow().to_pydict()  # keys that several texts of the sample hold
     counts = {k: (float(t), float(o)) for k, t, o in zip(got["k"], got["toxic"], got["other"], strict=True)}
     toxic, other = counts.pop("", (0.0, 0.0))
     model = Scorer(fit_odds(counts, toxic, other))
-    rest = part.where("calibrates").select("t", "y").toArrow().to_pydict()  # a quarter of the sample
-    model.calibrate(rest["t"], [int(y > 0) for y in rest["y"]])
     model.prune()
+    if min(toxic, other) < LEAST_LABELS:
+        warnings.warn(f"toxicity learns from {toxic:.0f} toxic and {other:.0f} other texts only: scores will hardly tell them apart", stacklevel=2)
+    rest = part.where("calibrates").select("t", "y")  # a quarter of the sample
+
+    def told(what, schema: str) -> dict[str, list]:
+        """what(model, text) of every calibration text: a few numbers for each."""
+        shared = df.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                got = [what(shared.value, t) for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_pylist([{"y": int(y > 0), "x": list(map(float, g))} for y, g in zip(b.column(1).to_pylist(), got, strict=True)], schema=pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))]))
+
+        return rest.mapInArrow(run, schema).toArrow().to_pydict()
+
+    tops = told(lambda m, t: m.top(t), "y int, x array<double>")
+    plain = [x for y, x in zip(tops["y"], tops["x"], strict=True) if not y and x[0]]
+    model.set_law([n for n, _ in plain], [top for _, top in plain])
+    seen = told(lambda m, t: m.look(t)[0], "y int, x array<double>")
+    model.set_weights(np.array(seen["x"]).reshape(-1, 4), seen["y"])
     return model
 
 
@@ -233,7 +264,11 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 
 
 def score(df: DataFrame, model: Scorer, text: str = "text", keep: Sequence[str] = ("doc_id",), keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """`keep`, score (0 to 1), predicted, and passages: token ranges of the toxic segments. Empty texts get the score of no evidence."""
+    """`keep`, score (0 to 1), predicted, and passages: token ranges of the toxic segments; a row for each row.
+
+    Null and empty texts get the score of no evidence and no passages; very long ones are walked whole, in linear time;
+    repeated rows get equal scores; an empty table gives no rows; columns of `keep` named like an output are replaced.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("passages", SPAN)]
 
