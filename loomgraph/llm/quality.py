@@ -25,6 +25,11 @@ BOILERPLATE = (
 )
 
 
+#: Words, and the ASCII characters that str.split() takes for blanks besides the six.
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+CONTROLS = re.compile(r"[\x1c-\x1f]")
+
+
 @dataclass(frozen=True)
 class Rules:
     """Limits of the rules; shares are of a line's characters that aren't blank, or of its words."""
@@ -91,7 +96,7 @@ class Judge:
         boiler = any(p in low for p in BOILERPLATE)
         lost, gone, clean = 0, 0, []
         for line in lines:
-            words = line.split()
+            words = line.split() if line.isascii() and not CONTROLS.search(line) else WORDS.findall(line)
             if words and self.line_fails(line, words, times[line], boiler, symbols > 0):
                 lost += len(words)
                 gone += 1
@@ -107,7 +112,9 @@ FIELDS = [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_s
 def assess(df: DataFrame, rules: Rules | None = None, text: str = "text", keep: Sequence[str] = ("doc_id",), with_text: bool = True) -> DataFrame:
     """`keep`, the counts, base_failed, kept, what the line rules removed, and (with_text) the cleaned text.
 
-    One pass without a shuffle; a row's result depends on that row only, so repeated rows are repeated results.
+    One pass without a shuffle; a row's result depends on that row only, so repeated rows are repeated results. Null and
+    empty texts have counts of zero and fail; texts of any length are judged whole; an empty table gives no rows; columns
+    of `keep` named like an output are replaced.
     """
     rules = rules or Rules()
     fields = FIELDS if with_text else FIELDS[:-1]
