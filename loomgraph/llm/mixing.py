@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import fresh, stored
+from loomgraph.llm.common import besides, col, fresh, stored
 
 #: Cells that the driver rakes at most (they are combinations of labels, not rows); more raise an error.
 MOST_CELLS = 2_000_000
 #: Cells that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_CELLS = 100_000
 TEMPER = 0.85
+OUTPUTS = ("topic", "n_tokens", "weight", "probability", "kept")
 #: Cues of legal texts, in any case, and of links.
 LEGAL = ("licensed under", "license, version", "permission is hereby granted", "copyright")
 LINKS = ("http://", "https://", "www.")
@@ -117,17 +118,21 @@ def chance(doc_id: Column, seed: int) -> Column:
 def mix(df: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source", lang: str = "lang", topics: Column | None = None, seed: int = 13, temper: float = TEMPER, keep: Sequence[str] | None = None) -> DataFrame:
     """`keep` (all columns by default), topic, n_tokens, weight, probability and kept for every row.
 
-    Texts without words have weight like their cell; they move no shares.
+    Null and empty texts have no tokens: they have weight like their cell and move no shares. Null labels are a value of
+    their own. Rows that repeat an id are kept or left together; a null id counts as the empty text. An empty table
+    gives no rows; columns of `keep` named like an output are replaced.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("topic", "n_tokens", "weight", "probability", "kept")]
-    names = [fresh(c, df.columns) for c in ("source_", "lang_", "topic_", "tokens_")]
-    s, g, t, n = names
-    rows = df.select(*[F.col(c) for c in keep], F.col(doc_id).alias(fresh("id_", df.columns)), F.col(source).cast("string").alias(s), F.col(lang).cast("string").alias(g), (topic(F.col(text)) if topics is None else topics).alias(t), tokens(F.col(text)).alias(n))
-    slim = stored(rows.drop(*[c for c in keep]), "mix-rows") if text in keep else (rows := stored(rows, "mix-rows"))
+    keep = besides(df.columns if keep is None else keep, OUTPUTS)
+    s, g, t, n, i = (fresh(c, [*keep, *OUTPUTS]) for c in ("source_", "lang_", "topic_", "tokens_", "id_"))
+    rows = df.select(*[col(c) for c in keep], col(doc_id).alias(i), col(source).cast("string").alias(s), col(lang).cast("string").alias(g), (topic(col(text)) if topics is None else topics).alias(t), tokens(col(text)).alias(n))
+    whole = any(c.lower() == text.lower() for c in keep)
+    slim = stored(rows.select(s, g, t, n).groupBy(s, g, t).agg(F.sum(n).alias(n)), "mix-cells") if whole else (rows := stored(rows, "mix-rows"))
     named = {s: (targets or {}).get("source"), g: (targets or {}).get("lang"), t: (targets or {}).get("topic")}
-    cells = weigh(slim, [s, g, t], n, {k: v for k, v in named.items() if v is not None}, temper).select(*[F.col(c).alias(f"{c}c") for c in (s, g, t)], "weight", "probability")
+    cells = weigh(slim, [s, g, t], n, {k: v for k, v in named.items() if v is not None}, temper)
+    inner = [fresh(f"{c}cell", [*keep, *OUTPUTS]) for c in (s, g, t)]
+    cells = cells.select(*[F.col(c).alias(x) for c, x in zip((s, g, t), inner, strict=True)], F.col("weight").alias("weight"), "probability")
     if cells.count() <= BROADCAST_CELLS:  # else texts would be dealt out to meet a few weights
         cells = F.broadcast(cells)
-    joined = rows.join(cells, F.col(s).eqNullSafe(F.col(f"{s}c")) & F.col(g).eqNullSafe(F.col(f"{g}c")) & F.col(t).eqNullSafe(F.col(f"{t}c")), "left")
-    idc = fresh("id_", df.columns)
-    return joined.select(*[F.col(c) for c in keep], F.col(t).alias("topic"), F.col(n).alias("n_tokens"), "weight", "probability", (chance(F.col(idc), seed) < F.col("probability")).alias("kept"))
+    at = [F.col(c).eqNullSafe(F.col(x)) for c, x in zip((s, g, t), inner, strict=True)]
+    joined = rows.join(cells, at[0] & at[1] & at[2], "left")
+    return joined.select(*[col(c) for c in keep], F.col(t).alias("topic"), F.col(n).alias("n_tokens"), "weight", "probability", (chance(F.col(i), seed) < F.col("probability")).alias("kept"))

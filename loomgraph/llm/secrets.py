@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import map_texts
+from loomgraph.llm.common import SLICE_BYTES, col, map_texts
 
 #: Fixed rules: group 2 or the whole match must have so many characters.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -309,7 +309,9 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def scan(df: DataFrame, net: Network | None = None, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`keep`, n_assign, n_access, n_hex, base_sha256, spans (as text) and span_list; a row for each row.
 
-    Null and empty texts have no spans; base_sha256 is then the digest of the empty text.
+    Null and empty texts have no spans; base_sha256 is then the digest of the empty text. Texts of any length are
+    scanned whole; repeated rows get equal spans; an empty table gives no rows; columns of `keep` named like an output
+    are replaced. Spans that begin at one place come in the order of KINDS.
     """
     shared = df.sparkSession.sparkContext.broadcast(net or trained())
     fields = [T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex")] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("span_list", SPANS)]
@@ -329,7 +331,10 @@ def scan(df: DataFrame, net: Network | None = None, text: str = "text", keep: Se
 
 
 def redact(df: DataFrame, net: Network | None = None, text: str = "text") -> DataFrame:
-    """df with every secret in `text` masked; all rows and columns stay, n_chars (if a column) follows the text; null stays null."""
+    """df with every secret in `text` masked; all rows and columns stay, n_chars (if a column) follows the text.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; an empty table stays empty.
+    """
     shared = df.sparkSession.sparkContext.broadcast(net or trained())
 
     from pyspark.sql import functions as F
@@ -338,10 +343,21 @@ def redact(df: DataFrame, net: Network | None = None, text: str = "text") -> Dat
     def clean(column):
         import pandas as pd
 
-        texts = column.tolist()
-        full = [t or "" for t in texts]
-        found = Scanner(shared.value).spans(full)
-        return pd.Series([t if not f else redacted(s, f) for t, s, f in zip(texts, full, found, strict=True)])
-
-    out = df.withColumn(text, clean(F.col(text)))
-    return out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
+        texts, out, at = column.tolist(), [], 0
+        scanner = Scanner(shared.value)
+        while at < len(texts):  # a slice of about SLICE_BYTES characters at once
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size < SLICE_BYTES):
+                size += len(texts[stop] or "")
+                stop += 1
+            full = [t or "" for t in texts[at:stop]]
+            out += [t if not f else redacted(s, f) for t, s, f in zip(texts[at:stop], full, scanner.spans(full), strict=True)]
+            at = stop
+        return pd.Series(out, dtype=object)
+
+    chars = next((c for c in df.columns if c.lower() == "n_chars"), None)
+    masked = df.select(*[clean(col(c)).alias(c) if c.lower() == text.lower() else col(c) for c in df.columns])
+    if chars is None:
+        return masked
+    kind = masked.select(chars).schema[0].dataType
+    return masked.withColumn(chars, F.when(col(text).isNull(), col(chars)).otherwise(F.length(col(text))).cast(kind))
