@@ -6,8 +6,10 @@ segmented minimum, merges it leftmost first, and the array is compacted; words w
 A word is a run of word marks and what follows up to the next mark. Splitting there is exact because no
 piece of the model has a mark after another character (checked when the model is read).
 
-Equal pairs of one word are merged in the same round only if the merged piece can't start or end a better
-ranked piece; else one after the other, as the library does, so that ids are always the library's.
+Equal pairs of one word are merged in the same round if the merged piece can't start or end a better ranked piece, or if
+they lie so far apart that no piece reaches from what comes of one to the other; else one after the other, as the library
+does, so that ids are always the library's. Long words (a text without blanks is one) are first cut where two characters
+meet that are neighbours in no piece: no merge ever crosses such a place.
 """
 
 from __future__ import annotations
@@ -17,17 +19,21 @@ import gc
 import hashlib
 import re
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import MEMO, map_texts
+from loomgraph.llm.common import MEMO, besides, col, map_texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.int64(1) << 40
+#: Characters from which a word is cut where no piece can cross.
+LONG = 32
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
 
 
@@ -121,6 +127,9 @@ class Pieces:
                 j = ids.get(part)
                 if j is not None and rank[i] <= rank[j]:
                     tight.add(j)
+        self.reach = 2 * max(map(len, ids), default=1)
+        near = {(ord(a) << 21) + ord(b) for t in ids for a, b in zip(t, t[1:], strict=False)}
+        self.near = np.array(sorted(near) or [-1], np.int64)
         n = 1 << max(16, (4 * len(pairs)).bit_length())
         self.shift = np.uint64(64 - n.bit_length() + 1)
         self.keys = np.full(n + 64, -1, np.int64)
@@ -164,6 +173,16 @@ class Pieces:
         sym = self.of_char[flat]
         sym = np.where(sym < 0, self.other + flat, sym)
         word = np.repeat(np.arange(len(words)), size)
+        owner = None
+        if sym.size and size.max() > LONG:
+            part = np.flatnonzero((word[:-1] == word[1:]) & np.repeat(size > LONG, size)[1:])
+            code = (flat[part] << 21) + flat[part + 1]
+            cut = np.zeros(sym.size, bool)
+            cut[part + 1] = self.near[np.minimum(np.searchsorted(self.near, code), self.near.size - 1)] != code
+            cut[1:] |= word[1:] != word[:-1]
+            owner, word = word, np.cumsum(cut)
+            owner = owner[np.flatnonzero(np.r_[True, cut[1:]])]  # the word of each stretch
+        place = np.arange(sym.size)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank = np.full(sym.size, NONE)
         into = np.zeros(sym.size, np.int64)
@@ -176,7 +195,7 @@ class Pieces:
             live = np.repeat(best < NONE, length)
             if not live.all():
                 done.append((word[~live], sym[~live]))
-                sym, word, rank, into = sym[live], word[live], rank[live], into[live]
+                sym, word, rank, into, place = sym[live], word[live], rank[live], into[live], place[live]
                 best, length = best[best < NONE], length[best < NONE]
                 if not sym.size:
                     break
@@ -184,12 +203,12 @@ class Pieces:
             begins = np.r_[True, np.diff(hit) > 1]  # runs of overlapping pairs
             run = np.flatnonzero(begins)
             odd = (np.arange(hit.size) - np.repeat(run, np.diff(np.r_[run, hit.size]))) & 1
-            first = np.r_[True, word[hit[1:]] != word[hit[:-1]]]
+            first = np.r_[True, (word[hit[1:]] != word[hit[:-1]]) | (place[hit[1:]] - place[hit[:-1]] >= self.reach)]
             hit = hit[(odd == 0) & (first | ~self.single[into[hit]])]
             sym[hit] = into[hit]
             stay = np.ones(sym.size, bool)
             stay[hit + 1] = False
-            sym, word = sym[stay], word[stay]
+            sym, word, place = sym[stay], word[stay], place[stay]
             rank, into = rank[stay], into[stay]
             new = hit - np.arange(hit.size)  # place of each merged symbol after compaction
             rank[new] = NONE
@@ -205,6 +224,8 @@ class Pieces:
         word, sym = np.concatenate([x[0] for x in done]), np.concatenate([x[1] for x in done])
         order = np.argsort(word, kind="stable")
         word, sym = word[order], sym[order]
+        if owner is not None:
+            word = owner[word]
         odd = np.flatnonzero(sym >= len(self.text))
         if odd.size:  # characters without a piece become bytes
             back = {i: chr(c) for c, i in enumerate(self.of_char.tolist()) if i >= len(self.text)} if (sym[odd] < self.other).any() else {}
@@ -254,7 +275,6 @@ class Coder:
     """Encodes texts with a memo of words; a word's ids don't depend on what is around it."""
 
     def __init__(self, raw: bytes):
-        gc.disable()  # the memo holds no cycles, and going through it again and again costs more than the work
         self.pieces = Pieces(raw)
         self.plain = [" ⁇ " if k == UNKNOWN else "" if k == CONTROL else t.replace(MARK, " ") for t, k in zip(self.pieces.text, self.pieces.kind, strict=True)]
         self.number = [str(i) for i in range(len(self.plain))]
@@ -281,24 +301,37 @@ class Coder:
                 x, y = at[k], at[k + 1]
                 self.memo[w] = y - x, ",".join(number[x:y]), self.pieces.decode_part(ids[x:y]) if odd[k] else "".join(plain[x:y])
 
+    @contextmanager
+    def calm(self) -> Iterator[None]:
+        """No garbage collection meanwhile: the memo holds no cycles, and going through it again and again costs more than the work."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield
+        finally:
+            if on:
+                gc.enable()
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [self.pieces.words(t) for t in texts]
-        self.learn(split, False)
-        return [[i for w in ws for i in self.memo[w]] for ws in split]
+        with self.calm():
+            split = [self.pieces.words(t) for t in texts]
+            self.learn(split, False)
+            return [[i for w in ws for i in self.memo[w]] for ws in split]
 
     def digests(self, texts: list[str]) -> tuple[list, list, list]:
-        n, ids_sha, text_sha = [], [], []
-        split = [self.pieces.words(t) for t in texts]
-        self.learn(split, True)
-        memo = self.memo
-        for ws in split:
-            size, ids, parts = zip(*[memo[w] for w in ws], strict=True) if ws else ((), (), ())
-            ids, text = ",".join(ids), "".join(parts)
-            cut = bool(self.pieces.prefix and ws and self.pieces.text[int(ids.partition(",")[0])].startswith(MARK))
-            n.append(sum(size))
-            ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-            text_sha.append(hashlib.sha256(text[cut:].encode("utf-8", "surrogatepass")).hexdigest())
-        return n, ids_sha, text_sha
+        with self.calm():
+            n, ids_sha, text_sha = [], [], []
+            split = [self.pieces.words(t) for t in texts]
+            self.learn(split, True)
+            memo = self.memo
+            for ws in split:
+                size, ids, parts = zip(*[memo[w] for w in ws], strict=True) if ws else ((), (), ())
+                ids, text = ",".join(ids), "".join(parts)
+                cut = bool(self.pieces.prefix and ws and self.pieces.text[int(ids.partition(",")[0])].startswith(MARK))
+                n.append(sum(size))
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                text_sha.append(hashlib.sha256(text[cut:].encode("utf-8", "surrogatepass")).hexdigest())
+            return n, ids_sha, text_sha
 
 
 def _model(df: DataFrame, path: str):
@@ -307,7 +340,7 @@ def _model(df: DataFrame, path: str):
 
 
 def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """All columns of df and `out`, the ids of each whole text. A null or empty text has no ids."""
+    """All columns of df (but one named `out`) and `out`, the ids of each whole text. A null or empty text has no ids; an empty table gives no rows."""
     raw = _model(df, model)
 
     def make():
@@ -326,11 +359,15 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
         pieces = Pieces(raw.value)
         return column.map(lambda x: "" if x is None else pieces.decode(list(x)))
 
-    return df.withColumn(out, text_of(F.col(f"`{ids}`")))
+    return df.select(*[col(c) for c in besides(df.columns, [out])], text_of(col(ids)).alias(out))
 
 
 def round_trip(df: DataFrame, model: str, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """n_tokens, and the digests of the ids and of the text decoded from them, in one pass over df."""
+    """`keep`, n_tokens, and the digests of the ids and of the text decoded from them; one pass, a row for each row.
+
+    Null and empty texts have no ids and decode to the empty text; whole texts of any length are encoded; repeated rows
+    get equal results; an empty table gives no rows; columns of `keep` named like an output are replaced.
+    """
     raw = _model(df, model)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return map_texts(df, lambda: Coder(raw.value).digests, fields, text, keep)
