@@ -1 +1,5 @@
-"""plans of the engine."""
+"""Registered queries: importing the package fills registry.QUERIES and registry.ORACLE_SQL."""
+
+from loomgraph.plans import knowledge, registry
+
+__all__ = ["knowledge", "registry"]
