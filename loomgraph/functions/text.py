@@ -26,13 +26,11 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 
 
-def stable_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws(SEPARATOR, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
-
-
 def unit_float(key: Column) -> Column:
-    """A number from 0 to 1 from the first 13 hex digits of the key's SHA-256: exact in a double."""
-    return F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") / F.lit(float(2**52 - 1))
+    """A number from 0 to 1 from the first eight bytes of the key's SHA-256."""
+    digest = F.sha2(key, 256)
+    part = lambda a: F.conv(F.substring(digest, a, 8), 16, 10).cast("double")
+    return (part(1) * float(1 << 32) + part(9)) / float(2**64 - 1)
 
 
 def trigrams(text: Column) -> Column:

@@ -48,13 +48,22 @@ def islands(events: DataFrame, boundary: Column, key: str = "subject") -> DataFr
     return rows.withColumn("unit", unit.cast("long")).groupBy(key, "unit").agg(F.count(F.lit(1)).alias("n_events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 
-def merge_intervals(rows: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Unions of overlapping or touching intervals of each key, with how many they hold."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    group = F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("new_", new).withColumn("group_", group).groupBy(key, "group_").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("group_")
+def merge_intervals(rows: DataFrame, key: str, start: str = "start", end: str = "end", width: float = 86_400_000_000) -> DataFrame:
+    """Unions of overlapping or touching intervals of each key, with how many they hold.
+
+    Intervals are merged among those that begin in one stretch of `width` first, in as many tasks as there are
+    stretches; only the unions that are left then meet in the window over the whole key.
+    """
+
+    def merged(df: DataFrame, keys: list[str], n) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(start, end)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        df = df.withColumn("new_", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+        df = df.withColumn("group_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return df.groupBy(*keys, "group_").agg(F.min(start).alias(start), F.max(end).alias(end), n.alias("n")).drop("group_")
+
+    parts = merged(rows.withColumn("stretch_", F.floor(F.col(start) / width)), [key, "stretch_"], F.count(F.lit(1)))
+    return merged(parts.drop("stretch_"), [key], F.sum("n"))
 
 
 def map_steps(events: DataFrame, legs: DataFrame, key: str = "subject") -> DataFrame:

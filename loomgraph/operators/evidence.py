@@ -8,80 +8,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import cut
+
 #: Characters of quotes that one pass looks for at most; more quotes take more passes.
 QUOTE_CHARS = 20_000_000
 
 
-def find_quote(text: str, quote: str) -> tuple[int, int] | None:
-    """(start, end) of the first occurrence; else of the first one when white space is left out of both."""
-    quote = quote.strip()
-    if not quote:
-        return None
-    at = text.find(quote)
-    if at >= 0:
-        return at, at + len(quote)
-    places = [k for k, c in enumerate(text) if not c.isspace()]
-    short = "".join(quote.split())
-    at = "".join(text.split()).find(short)
-    return None if at < 0 else (places[at], places[at + len(short) - 1] + 1)
-
-
-def _passes(quotes: DataFrame, item_id: str, quote: str, strip: bool = True) -> list[list[tuple[int, str]]]:
-    out, size = [[]], 0
-    for r in quotes.select(item_id, quote).where(F.col(quote).isNotNull()).orderBy(item_id).toLocalIterator():
-        q = r[1].strip() if strip else r[1]
-        if not q:
-            continue
-        if size + len(q) > QUOTE_CHARS and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], q))
-        size += len(q)
-    return out
-
-
-def locate(segments: DataFrame, quotes: DataFrame, segment_id: str = "doc_id", text: str = "text", item_id: str = "item_id", quote: str = "text", spaces: bool = True) -> DataFrame:
+def _passes(quotes: DataFrame, item_id: str, quote: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Lots of (id, quote) of QUOTE_CHARS or so at most, one at a time on the driver, and whether there are several.
+
+    Quotes are dealt to lots by a hash of their id; their whole length says how many lots there are.
+    """
+    rows = quotes.select(F.col(item_id).alias("id"), F.regexp_replace(quote, r"^\s+|\s+$", "").alias("q")).where("q <> ''")
+    lots = -(-(rows.agg(F.sum(F.length("q"))).first()[0] or 0) * 2 // QUOTE_CHARS) or 1
+    lot = F.pmod(F.xxhash64("id"), F.lit(lots))
+    for k in range(lots):
+        yield sorted((r["id"], r["q"]) for r in rows.where(lot == k).toLocalIterator()), lots > 1
+
+
+def _machine(words):
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for w in words:
+        machine.add_word(w, w)
+    if words:
+        machine.make_automaton()
+    return machine
+
+
+def locate(segments: DataFrame, quotes: DataFrame, segment_id: str = "doc_id", text: str = "text", item_id: str = "item_id", quote: str = "text", spaces: bool | None = True) -> DataFrame:
     """segment_id, item_id, quote_start, quote_end, flat_start for every pair whose quote the segment holds.
 
     All quotes are looked for in one scan of each text with an automaton, so the work doesn't grow with their number.
-    spaces: exact occurrences; without it both sides are compared without white space, and offsets refer to the text.
+    spaces: exact occurrences; False compares both sides without white space; None takes the exact occurrence of a pair,
+    else the first one without white space. Offsets refer to the text; flat_start counts no white space, and is null
+    where a quote stands there exactly. Blank quotes are nowhere.
     """
     kind = segments.schema[segment_id].dataType.simpleString()
     schema = f"{segment_id} {kind}, {item_id} long, quote_start long, quote_end long, flat_start long"
     found = None
-    for part in _passes(quotes, item_id, quote):
+    for part, several in _passes(quotes, item_id, quote):
         shared = segments.sparkSession.sparkContext.broadcast(part)  # QUOTE_CHARS at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            ids: dict[str, list[int]] = {}
+            exact, flat_ids = {}, {}
             for i, q in shared.value:
-                ids.setdefault(q if spaces else "".join(q.split()), []).append(i)
-            machine = ahocorasick.Automaton()
-            for q in ids:
-                machine.add_word(q, q)
-            if ids:
-                machine.make_automaton()
+                exact.setdefault(q, []).append(i)
+                flat_ids.setdefault("".join(q.split()), []).append(i)
+            there = _machine(exact) if spaces is not False and exact else None
+            squeezed = _machine(flat_ids) if not spaces and flat_ids else None
             for b in batches:
                 cols: list[list] = [[], [], [], [], []]
                 for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    t = t or ""
-                    flat = t if spaces else "".join(t.split())
-                    first: dict[str, int] = {}
-                    for end, q in machine.iter(flat) if ids else ():
-                        first.setdefault(q, end - len(q) + 1)
-                    if not first:
-                        continue
-                    places = None if spaces else [k for k, c in enumerate(t) if not c.isspace()]
-                    for q, at in first.items():
-                        start, end = (at, at + len(q)) if places is None else (places[at], places[at + len(q) - 1] + 1)
-                        for i in ids[q]:
-                            for c, v in zip(cols, (key, i, start, end, at), strict=True):
-                                c.append(v)
+                    t, met = t or "", {}
+                    for end, q in there.iter(t) if there else ():
+                        for i in exact[q]:
+                            met.setdefault(i, (end - len(q) + 1, end + 1, None))
+                    if squeezed:
+                        first: dict[str, int] = {}
+                        for end, q in squeezed.iter("".join(t.split())):
+                            first.setdefault(q, end - len(q) + 1)
+                        places = [k for k, c in enumerate(t) if not c.isspace()] if first else []
+                        for q, at in first.items():
+                            for i in flat_ids[q]:
+                                met.setdefault(i, (places[at], places[at + len(q) - 1] + 1, at))
+                    for i, where in met.items():
+                        for c, v in zip(cols, (key, i, *where), strict=True):
+                            c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[segment_id, item_id, "quote_start", "quote_end", "flat_start"])
 
         got = segments.select(segment_id, text).mapInArrow(run, schema)
+        if several:
+            got = cut(got)
+            shared.destroy()
         found = got if found is None else found.unionByName(got)
     return found
 
@@ -91,9 +91,9 @@ def mentions(segments: DataFrame, names: DataFrame, segment_id: str = "doc_id",
 
     All names are looked for in one scan of each text; QUOTE_CHARS of names are broadcast at most, more take more passes.
     """
-    listed = names.select(F.col(name).alias("name")).where(F.length(name) > 0).dropDuplicates()
+    listed = names.select(F.trim(name).alias("name")).where("name <> ''").dropDuplicates()
     listed, found = listed.withColumn("id_", F.xxhash64("name")), None
-    for part in _passes(listed, "id_", "name", strip=False):
+    for part, several in _passes(listed, "id_", "name"):
         shared = segments.sparkSession.sparkContext.broadcast([q for _, q in part])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -117,6 +117,9 @@ def mentions(segments: DataFrame, names: DataFrame, segment_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(shared.value, pa.string()), pa.array(segs, pa.int64()), pa.array(hits, pa.int64())], names=["name", "n_segments", "n_mentions"])
 
         got = segments.select(text).mapInArrow(run, "name string, n_segments long, n_mentions long")
+        if several:
+            got = cut(got)
+            shared.destroy()
         found = got if found is None else found.unionByName(got)
     return found.groupBy("name").agg(F.sum("n_segments").alias("n_segments"), F.sum("n_mentions").alias("n_mentions"))
 

@@ -14,38 +14,48 @@ LEAST_COSINE, MOST_DISTANCE = 0.15, 280.0
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed in the shared folder; one for this session only where the cluster names none."""
+    """The same rows, checkpointed in the shared folder. Only a local session that names none gets one of its own."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp()}")
     return df.checkpoint()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of (a, b) reaches.
+    """(node, component): the smallest node that each node of (a, b) reaches; loops and repeated edges don't matter.
 
-    Each round every node takes the smallest label around it, then the label of its label; lineage is cut by
-    checkpoint(), which executors may be lost after.
+    Large-star and small-star in turn: a node's larger neighbours, then its smaller ones, are tied to the smallest that
+    is near, until all edges are stars. Edges never become more; rounds grow with the log of the diameter. Lineage is cut
+    by checkpoint(), which executors may be lost after.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").dropDuplicates())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"))
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).dropDuplicates())
+    mark = None
     for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        jump = step.select(F.col("node").alias("n"), F.col("to").alias("jumped"))
-        new = cut(step.join(jump, step["to"] == jump["n"], "left").select("node", F.least("to", F.coalesce("jumped", "to")).alias("component"), "was"))
-        if new.where("component <> was").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).dropDuplicates()
+        least = star.groupBy("u").agg(F.min("v").alias("m"))
+        now = cut(star.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).dropDuplicates())
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == mark:
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).dropDuplicates()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        mark = state
     raise RuntimeError("components did not settle")
 
 
 def containment(parents: DataFrame, most_depth: int = 12) -> DataFrame:
-    """(node, ancestor, depth) for all pairs of (node, parent), a node not being its own ancestor; depth to most_depth."""
-    found = step = parents.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array("node", "parent").alias("path"))
+    """(node, ancestor, depth) for all pairs of (node, parent), a node not being its own ancestor; depth to most_depth.
+
+    Each level is checkpointed, so the next one doesn't work out all levels before it again.
+    """
+    found = step = cut(parents.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array("node", "parent").alias("path")))
     up = parents.select(F.col("node").alias("n"), F.col("parent").alias("p"))
     for depth in range(2, most_depth + 1):
-        step = step.join(up, step["ancestor"] == up["n"]).where(~F.array_contains("path", F.col("p"))).select("node", F.col("p").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("p")).alias("path"))
+        step = cut(step.join(up, step["ancestor"] == up["n"]).where(~F.array_contains("path", F.col("p"))).select("node", F.col("p").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("p")).alias("path")))
         if step.isEmpty():
             break
         found = found.unionByName(step)

@@ -143,11 +143,11 @@ def content_digest(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(n.alias("n_rows"), F.sha2(F.concat(n.cast("string"), F.lit(":"), F.sum(part).cast("string")), 256).alias("digest"))
 
 
-def cyclic_moves(parents: DataFrame, moves: DataFrame, most_depth: int = 64) -> DataFrame:
+def cyclic_moves(parents: DataFrame, moves: DataFrame, most_depth: int = 1000) -> DataFrame:
     """moves (move_id, folder, new_parent) that would put a folder under itself or its own descendant.
 
     parents: folder, parent (null at the top). Only the moves climb, one join a level, until all are at the top or
-    go round in a loop that was there before.
+    go round in a loop that was there before. Raises an error if folders lie more than `most_depth` deep.
     """
     at = moves.select("move_id", "folder", F.col("new_parent").alias("at"), F.array("new_parent").alias("path"))
     up = parents.where("parent is not null").select(F.col("folder").alias("at"), F.col("parent").alias("next"))
@@ -158,6 +158,8 @@ def cyclic_moves(parents: DataFrame, moves: DataFrame, most_depth: int = 64) ->
         if at.isEmpty():
             break
         bad = bad.unionByName(at.where("at = folder").select("move_id"))
+    else:
+        raise ValueError(f"folders lie more than {most_depth} deep")
     return moves.join(bad.dropDuplicates(), "move_id", "left_semi")
 
 

@@ -24,18 +24,20 @@ def lookup(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("name").dropDuplicates().join(first, "name", "left")
 
 
-def candidates_by_key(keys: DataFrame) -> DataFrame:
-    """left_id, right_id of entities that share a (kind, key), as a chain to the smallest: no group is expanded to pairs."""
-    least = keys.groupBy("kind", "key").agg(F.min("entity_id").alias("left_id"))
-    return keys.join(least, ["kind", "key"]).where("entity_id <> left_id").select("left_id", F.col("entity_id").alias("right_id")).dropDuplicates()
-
-
-def role_conflicts(participants: DataFrame, event: str = "event_id", entity: str = "entity_id", role: str = "role") -> DataFrame:
-    """Pairs of entities that take part in one event with different roles, and in how many events."""
-    p = participants.select(event, entity, role).dropDuplicates()
-    l, r = p.toDF("e", "left_id", "lr"), p.toDF("e", "right_id", "rr")
-    pairs = l.join(r, "e").where("left_id < right_id and lr <> rr")
-    return pairs.groupBy("left_id", "right_id").agg(F.countDistinct("e").alias("n_events"))
+def role_conflicts(participants: DataFrame, event: str = "event_id", entity: str = "entity_id", role: str = "role", block: int = 256) -> DataFrame:
+    """Pairs of entities that take part in one event with different roles, and in how many events.
+
+    An entity is one row of its event, whatever its roles. Events of more than `block` entities are met block by block in
+    separate tasks. The pairs of an event that conflict are the result itself, so there is one row each.
+    """
+    p = participants.groupBy(F.col(event).alias("e"), F.col(entity).alias("id")).agg(F.min(role).alias("low"), F.max(role).alias("high")).where("low is not null")
+    sizes = p.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    p = p.join(sizes, "e")
+    own = F.pmod(F.xxhash64("id"), F.col("n").cast("long")).cast("int")
+    l = p.select("e", F.col("id").alias("left_id"), F.col("low").alias("ll"), F.col("high").alias("lh"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    r = p.select("e", F.col("id").alias("right_id"), F.col("low").alias("rl"), F.col("high").alias("rh"), own.alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    alike = (F.col("ll") == F.col("lh")) & (F.col("rl") == F.col("rh")) & (F.col("ll") == F.col("rl"))
+    return l.join(r, ["e", "i", "j"]).where(F.col("left_id") < F.col("right_id")).where(~alike).groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 def verdicts(pairs: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions import parsing
-from loomgraph.operators import ledger, narrative, scope
+from loomgraph.functions import parsing, topics
+from loomgraph.functions import text as fx
+from loomgraph.operators import evidence, graph, ledger, narrative, scope
 from loomgraph.plans.registry import query
 from loomgraph.sources import chapters
 from loomgraph.sources.adapters import table
@@ -88,6 +89,45 @@ def nested_quotes(spark, sf):
     return quotes.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count_if(F.contains("text", "quote")).alias("n_held"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), b AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN replace(trim(text), ' ', ' ' || chr(10)) ELSE trim(text) END AS q FROM benchmark), f AS (SELECT *, regexp_replace(q, '\s+', '', 'g') AS s FROM b)
+SELECT doc_id, item_id, CASE WHEN instr(text, q) > 0 THEN 'exact' ELSE 'squeezed' END AS found, CAST(CASE WHEN instr(text, q) > 0 THEN instr(text, q) ELSE instr(t, s) END - 1 AS BIGINT) AS at FROM d JOIN f ON instr(t, s) > 0""")
+def evidence_locate_any(spark, sf):
+    text = F.when(F.col("item_id") % 2 == 0, F.regexp_replace(F.trim("text"), " ", " \n")).otherwise(F.trim("text"))
+    got = evidence.locate(table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumn("text", text), spaces=None)
+    return got.select("doc_id", "item_id", F.when(F.col("flat_start").isNull(), "exact").otherwise("squeezed").alias("found"), F.coalesce("flat_start", "quote_start").alias("at"))
+
+
+@query(r"""WITH t AS (SELECT page_id, replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM pages), u AS (SELECT page_id, regexp_replace(replace(t, '　', ' '), '[ \t]+', ' ', 'g') AS t FROM t)
+SELECT page_id, sha256(trim(regexp_replace(regexp_replace(t, ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS text_hash FROM u""")
+def normalized_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(fx.normalize(F.col("html")), 256).alias("text_hash"))
+
+
+@query(r"SELECT p_partkey, substr(sha256(regexp_replace(lower(p_name), '\W+', '', 'g')), 1, 24) AS thread_key FROM part")
+def thread_keys(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", fx.thread_key(F.col("p_name")).alias("thread_key"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?;。；！？])', '\1' || chr(1), 'g'), chr(1)), lambda x : trim(x) <> '') AS p FROM documents) SELECT doc_id, CAST(len(p) AS INTEGER) AS n_sentences FROM s""")
+def sentence_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(fx.sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query("SELECT n_nationkey, round(sqrt(n_nationkey + 1.0) * 92.0 * cos(n_nationkey * 2.399963229728653), 4) AS x, round(sqrt(n_nationkey + 1.0) * 92.0 * sin(n_nationkey * 2.399963229728653), 4) AS y FROM nation")
+def golden_positions(spark, sf):
+    x, y = graph.golden_layout(F.col("n_nationkey"))
+    return table(spark, sf, "nation").select("n_nationkey", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
+TOPIC_STEPS = " OR ".join(f"(t >= {t} AND s >= {s})" for t, s in ((0.84, 0.0), (0.78, 0.08), (0.65, 0.22), (0.52, 0.28)))
+
+
+@query(f"WITH v AS (SELECT event_id, round(abs(value) % 1, 4) AS t, round(abs(value * 3) % 1, 4) AS s FROM events) SELECT event_id, {TOPIC_STEPS} AS same FROM v")
+def same_topics(spark, sf):
+    part = lambda c: F.round(F.abs(c) % 1, 4)
+    return table(spark, sf, "events").select("event_id", topics.same_topic(part(F.col("value")), part(F.col("value") * 3)).alias("same"))
+
+
 # Scopes
 
 

@@ -223,13 +223,13 @@ def canonical_claims(spark, sf):
     return resolve.canonical_claims(claims, ids.withColumn("cluster_id", F.col("entity_id") - F.col("entity_id") % 5))
 
 
-@query("""WITH RECURSIVE g AS (SELECT o_custkey AS a, lag(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS b FROM orders WHERE o_orderstatus = 'P'), e AS (
+@query("""WITH RECURSIVE g AS (SELECT o_custkey AS a, lag(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS b FROM orders), e AS (
   SELECT a, b FROM g WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM g WHERE b IS NOT NULL AND a <> b), r AS (
   SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def connected_components(spark, sf):
     w = Window.partitionBy("o_orderdate", "o_orderpriority", "o_orderstatus").orderBy("o_orderkey")
-    rows = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), F.lag("o_custkey").over(w).alias("b"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), F.lag("o_custkey").over(w).alias("b"))
     return graph.components(rows.where("b is not null"))
 
 
@@ -457,7 +457,7 @@ def near_gate(spark, sf):
     return _steps(spark, sf).select("vec_id", F.round(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), 4).alias("distance"), graph.near_holds(F.col("dx"), F.col("dy")).alias("holds"))
 
 
-@query("SELECT s_suppkey, round(76.0 + 0 * s_suppkey, 1) AS margin, round(CAST(CAST('0x' || substr(sha256(s_name), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370495.0, 9) AS unit FROM supplier")
+@query("SELECT s_suppkey, round(76.0 + 0 * s_suppkey, 1) AS margin, round((CAST(CAST('0x' || substr(sha256(s_name), 1, 8) AS BIGINT) AS DOUBLE) * 4294967296.0 + CAST('0x' || substr(sha256(s_name), 9, 8) AS BIGINT)) / 18446744073709551615.0, 9) AS unit FROM supplier")
 def stable_unit_hash(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.lit(76.0).alias("margin"), F.round(fx.unit_float(F.col("s_name")), 9).alias("unit"))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PLACES = ("view", "click", "purchase")
@@ -13,10 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def segments(documents: DataFrame, text: str = "text", book: str = "doc_id") -> DataFrame:
-    """book_id, ordinal, text, char_start: the lines of each document in order; offsets count the line ends."""
-    lines = documents.select(F.col(book).alias("book_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("ordinal", "text"))
-    before = Window.partitionBy("book_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("char_start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")).withColumn("ordinal", F.col("ordinal").cast("long"))
+    """book_id, ordinal, text, char_start: the lines of each document in order; offsets count the line ends. No shuffle."""
+    kind = documents.schema[book].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                lines = [(t or "").split("\n") for t in part.column(1).to_pylist()]
+                n = [len(x) for x in lines]
+                size = np.fromiter((len(x) + 1 for y in lines for x in y), np.int64, sum(n))
+                first = np.repeat(np.cumsum(n) - n, n)
+                before = np.cumsum(size) - size
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.arange(size.size) - first), pa.array([x for y in lines for x in y], pa.string()), pa.array(before - before[first])], names=["book_id", "ordinal", "text", "char_start"])
+
+    return documents.select(book, text).mapInArrow(run, f"book_id {kind}, ordinal long, text string, char_start long")
 
 
 def anchored(segments_: DataFrame) -> DataFrame:

@@ -20,26 +20,35 @@ _CHAPTER = r"(?im)^\s*(?:chapter\s+[0-9ivxlc]+|第\s*[0-9一二三四五六七
 _CREDIT = r"(?im)^\s*(?:produced|prepared|transcribed)\s+by\b"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def unwrapped(text: Column) -> Column:
     """What lies between the start and end markers of a published text, if both stand there in this order.
 
     A closing line in the last 1000 characters, and credits in the first 1000 before the first chapter, go too.
     """
-    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    start, end = F.regexp_extract(text, _START, 0), F.regexp_extract(text, _END, 0)
-    begin = F.instr(text, start)
-    after = begin + F.length(start)
-    stop = F.instr(text, end)
-    whole = (start != "") & (end != "") & (stop > after - 1)
-    body = stripped(F.substring(text, after, stop - after))
-    old = F.regexp_extract(body, _LEGACY, 0)
-    at = F.when(old != "", F.instr(body, old))
-    body = F.when(at - 1 >= F.greatest(F.lit(0), F.length(body) - 1000), F.regexp_replace(F.substring(body, F.lit(1), at - 1), r"\s+$", "")).otherwise(body)
-    first = F.regexp_extract(body, _CHAPTER, 0)
-    head = F.when((first != "") & (F.instr(body, first) <= 1000), F.instr(body, first))
-    credit = F.regexp_extract(F.substring(body, F.lit(1), head - 1), _CREDIT, 0) != ""
-    body = F.when(head.isNotNull() & credit, F.substring(body, head, F.length(body))).otherwise(body)
-    return F.when(whole, stripped(body)).otherwise(text)
+    stripped = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s++$", "")
+
+    def without_close(body: Column) -> Column:
+        from_ = F.greatest(F.length(body) - 1000, F.lit(0))
+        end = F.substring(body, from_ + 1, F.lit(1001))
+        return _let(F.regexp_extract(end, _LEGACY, 0), lambda old: F.when(old != "", F.regexp_replace(F.substring(body, F.lit(1), from_ + F.instr(end, old) - 1), r"\s++$", "")).otherwise(body))
+
+    def without_credit(body: Column) -> Column:
+        head = F.substring(body, 1, 1200)
+        begin = _let(F.regexp_extract(head, _CHAPTER, 0), lambda c: F.when((c != "") & (F.instr(head, c) <= 1000), F.instr(head, c)))
+        return _let(begin, lambda at: F.when(at.isNotNull() & (F.regexp_extract(F.substring(head, F.lit(1), at - 1), _CREDIT, 0) != ""), F.substring(body, at, F.length(body))).otherwise(body))
+
+    def between(start: Column, end: Column) -> Column:
+        begin = F.instr(text, start) + F.length(start)
+        body = stripped(F.substring(text, begin, F.instr(text, end) - begin))
+        return F.when((start != "") & (end != "") & (F.instr(text, end) >= begin), stripped(_let(_let(body, without_close), without_credit))).otherwise(text)
+
+    marked = _let(F.regexp_extract(text, _START, 0), lambda s: _let(F.regexp_extract(text, _END, 0), lambda e: between(s, e)))
+    return F.when(F.contains(text, F.lit("***")), marked).otherwise(text)
 
 
 def pieces(text: str | None, target: int = TARGET) -> list[str]:

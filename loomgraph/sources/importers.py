@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import html
 import io
 import posixpath
 import re
@@ -24,16 +25,20 @@ BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "sec
 MARKS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 
 
+#: Charsets that a text may declare, and the decoder of each: those of one family are read by its largest member.
+CHARSETS = {"utf8": "utf-8", "utf16": "utf-16", "ascii": "utf-8", "usascii": "utf-8", "gb2312": "gb18030", "gbk": "gb18030", "gb18030": "gb18030", "big5": "big5hkscs", "shiftjis": "cp932", "sjis": "cp932", "xsjis": "cp932", "windows31j": "cp932", "cp932": "cp932", "ms932": "cp932", "eucjp": "euc_jp", "euckr": "cp949", "windows1252": "cp1252", "iso88591": "cp1252", "latin1": "cp1252"}
+
+
 def decode(raw: bytes) -> str:
-    """By byte-order mark, else by the declared charset, else UTF-8, else GB 18030. ValueError if none fits."""
+    """By byte-order mark, else by the declared charset if it is a known one, else UTF-8, else GB 18030. ValueError if none fits."""
     for mark, name in MARKS:
         if raw.startswith(mark):
             return raw.decode(name)
     tried = ["utf-8", "gb18030"]
     said = re.search(rb"""(?:charset|encoding)\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", raw[:4096])
     if said:
-        name = said[1].decode().lower()
-        tried.insert(0, "gb18030" if name.startswith("gb") else name)
+        name = CHARSETS.get(re.sub(r"[^a-z0-9]", "", said[1].decode().lower()))
+        tried = [name, *tried] if name else tried
     for name in tried:
         try:
             return raw.decode(name)
@@ -75,10 +80,10 @@ def tidy(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x.strip() for x in lines)).strip()
 
 
-def visible(html: str) -> tuple[str, str]:
+def visible(page: str) -> tuple[str, str]:
     """Title (first h1 or h2) and visible text."""
     p = _Visible()
-    p.feed(html)
+    p.feed(page)
     p.close()
     return p.title, tidy("".join(p.out))
 
@@ -139,6 +144,30 @@ def docx(raw: bytes) -> list[tuple[str, str]]:
     return chapters(tidy("\n".join(lines)), "")
 
 
+def about(name: str, raw: bytes) -> tuple[str, str]:
+    """Title and author that a file gives of itself: an EPUB's package, a DOCX's core properties, a page's title; else its name."""
+    kind = posixpath.splitext(name.lower())[1]
+    own = posixpath.splitext(posixpath.basename(name))[0]
+    if kind in (".epub", ".docx"):
+        z = unpacked(raw)
+        if kind == ".epub":
+            inner = next(e.attrib["full-path"] for e in _xml(z.read("META-INF/container.xml")).iter() if e.tag.endswith("}rootfile"))
+        else:
+            inner = "docProps/core.xml"
+        found = {"title": "", "creator": ""}
+        for e in _xml(z.read(inner)).iter() if inner in z.namelist() else ():
+            field = e.tag.rpartition("}")[2]
+            if field in found and not found[field]:
+                found[field] = " ".join((e.text or "").split())
+        return found["title"] or own, found["creator"]
+    if kind in (".html", ".htm"):
+        text = decode(raw)
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title>", text)
+        author = re.search(r"""(?is)<meta[^>]+name=["']author["'][^>]+content=["']([^"']*)["']""", text)
+        return (" ".join(html.unescape(title[1]).split()) if title else "") or own, author[1].strip() if author else ""
+    return own, ""
+
+
 def parse(name: str, raw: bytes) -> list[tuple[str, str]]:
     kind = posixpath.splitext(name.lower())[1]
     if kind in (".txt", ".md", ".markdown"):
@@ -152,7 +181,7 @@ def parse(name: str, raw: bytes) -> list[tuple[str, str]]:
     raise ValueError(f"unknown format {kind or name}")
 
 
-SCHEMA = "path string, source_hash string, chapter long, title string, text string, error string"
+SCHEMA = "path string, source_hash string, book_title string, author string, chapter long, title string, text string, error string"
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
@@ -166,9 +195,9 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sha = hashlib.sha256(raw).hexdigest()
                 try:
-                    out += [(name, sha, k, t, x, None) for k, (t, x) in enumerate(parse(name, raw))]
+                    out += [(name, sha, *about(name, raw), k, t, x, None) for k, (t, x) in enumerate(parse(name, raw))]
                 except Exception as e:  # any file may be broken in any way; the row says how
-                    out.append((name, sha, None, None, None, f"{type(e).__name__}: {e}"[:200]))
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "source_hash", "chapter", "title", "text", "error"), r, strict=True)) for r in out], schema=pa.schema([("path", pa.string()), ("source_hash", pa.string()), ("chapter", pa.int64()), ("title", pa.string()), ("text", pa.string()), ("error", pa.string())]))
+                    out.append((name, sha, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "source_hash", "book_title", "author", "chapter", "title", "text", "error"), r, strict=True)) for r in out], schema=pa.schema([("path", pa.string()), ("source_hash", pa.string()), ("book_title", pa.string()), ("author", pa.string()), ("chapter", pa.int64()), ("title", pa.string()), ("text", pa.string()), ("error", pa.string())]))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)

@@ -13,15 +13,29 @@ from loomgraph.sources import importers
 from loomgraph.streaming import activity
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("ab \n", max_size=30), st.text("ab \n", max_size=5))
-def test_quotes_are_found_white_space_aside(text, quote):
-    got = evidence.find_quote(text, quote)
-    flat = "".join(quote.split())
-    if not flat or flat not in "".join(text.split()):
-        assert got is None
-    else:
-        assert "".join(text[got[0] : got[1]].split()) == flat
+def test_quotes_are_found_white_space_aside(spark):
+    texts = ["a b", "ab ab", "a\nb  a b", "ba", "", None, "  a b b\na b"]
+    quotes = ["a b", "ab", " a b b ", "b\na", " ", "", "bb", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in evidence.locate(docs, asked, spaces=None).collect()}
+    for d, t in enumerate(texts):
+        for q, w in enumerate(quotes):
+            w, t = (w or "").strip(), t or ""
+            flat, r = "".join(w.split()), got.get((d, q))
+            assert (r is not None) == (bool(flat) and flat in "".join(t.split())), (t, w)
+            if r and w in t:
+                assert (r.quote_start, r.quote_end, r.flat_start) == (t.index(w), t.index(w) + len(w), None)
+            elif r:
+                assert "".join(t[r.quote_start : r.quote_end].split()) == flat and r.flat_start == "".join(t.split()).index(flat)
+
+
+def test_quotes_in_several_lots(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "QUOTE_CHARS", 20)
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, w) for k, w in enumerate("one two three four five six seven".split())], "item_id long, text string")
+    assert sorted(r.item_id for r in evidence.locate(docs, asked).collect()) == [0, 1, 2, 3, 4, 5]
+    assert sum(r.n_mentions for r in evidence.mentions(docs, asked.withColumnRenamed("text", "name")).collect()) == 6
 
 
 def test_rejected_candidates_stay_apart(spark):
