@@ -122,10 +122,11 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ok & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample: int = SAMPLE, recall: float = RECALL, visit: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score, n_distances: the k nearest found of each query row, nearest first, ties to the smaller id.
 
-    n_distances: of how many different vectors the query's distance was computed. Vectors that aren't valid(), rows
+    visit: leaves that a query visits at first; by default as many as the probes need for `recall`. Where those hold too
+    few rows it goes on until k are sure to be found. n_distances: of how many different vectors the query's distance was computed. Vectors that aren't valid(), rows
     without an id, and vectors of another length than most take no part. Rows that repeat an id and a vector count once.
     Fewer than k candidates: all of them. An empty table, or one without queries, gives no rows; other columns of any
     name are not used.
@@ -177,8 +178,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id"
     # Probes: exact neighbours of a few queries, in one pass over all rows.
     probe = asked.orderBy(F.xxhash64("query"), "query").limit(PROBES).toArrow()
     px, pid = _vectors(probe.column("x"), dim), probe.column("query").to_numpy()
-    most = forest.trees * forest.leaves
-    if len(px) and forest.depth:
+    most = min(visit or forest.trees * forest.leaves, forest.trees * forest.leaves)
+    if visit is None and len(px) and forest.depth:
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = shared.value[0]

@@ -119,11 +119,11 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], Sequence]]
     The columns of `keep` pass through unchanged, except those that `fields` replace.
     """
     keep = [c for c in besides(keep, [f.name for f in fields]) if keep_text or c.lower() != text.lower()]
-    inner = fresh("text_", keep)
-    src = df.select(*[col(c) for c in keep], F.coalesce(col(text).cast("string"), F.lit("")).alias(inner))
-    schema = T.StructType([*src.schema.fields[: len(keep)], *fields])
+    inner, k = "text_", len(keep)
+    src = df.select(*[col(c) for c in keep], F.coalesce(col(text).cast("string"), F.lit("")).alias(fresh(inner, keep)))
+    schema = T.StructType([*src.schema.fields[:k], *fields])
+    src = src.toDF(*[f"c{i}" for i in range(k)], inner)  # Arrow passes find columns by plain names only
     arrow = to_arrow_schema(schema)
-    k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None

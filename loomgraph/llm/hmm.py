@@ -410,7 +410,10 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", ke
     Null and empty texts are one end; repeated rows get equal scores; an empty table gives no rows; columns of `keep`
     named like an output are replaced.
     """
-    return score_parts(encoded(df, model, text, keep), model, counts)
+    keep = [c for c in besides(keep, OUTPUTS) if c.lower() != text.lower()]
+    plain = [f"keep_{i}" for i in range(len(keep))]
+    inner = df.select(col(text).alias("text"), *[col(c).alias(p) for c, p in zip(keep, plain, strict=True)])
+    return score_parts(encoded(inner, model, "text", plain), model, counts).toDF(*keep, *OUTPUTS)
 
 
 def score_parts(parts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -418,15 +421,18 @@ def score_parts(parts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     shared = parts.sparkSession.sparkContext.broadcast(model.slim())
     cols = besides(parts.columns, ["rid_", *(f.name for f in PARTS)])
 
+    names = [*cols, "rid_", "n_tokens", "known_", "base_", "inner_", "n_rare_", "model_"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ll = shared.value.forward(_sequences(b.column(b.num_columns - 1))) / LN10
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ll, pa.float64())], names=[*b.schema.names[:-1], "model_"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ll, pa.float64())], names=names)
 
     rows = parts.select("rid_", F.explode("rare_").alias("r")).select("rid_", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
     seen = rows.join(counts.select("word", "n"), "word").groupBy("rid_").agg(F.sum("k").alias("seen_"), F.sum(F.col("k") * F.log10(F.col("n") + F.lit(0.1))).alias("rare_log_"))
     slim = parts.select(*[col(c) for c in cols], "rid_", "n_tokens", "known_", "base_", "inner_", "n_rare_", "symbols_")
-    likely = slim.mapInArrow(run, T.StructType([*slim.schema.fields[:-1], T.StructField("model_", T.DoubleType())]))
+    fields = [*slim.schema.fields[:-1], T.StructField("model_", T.DoubleType())]
+    likely = slim.toDF(*[f"c{i}" for i in range(len(fields))]).mapInArrow(run, T.StructType(fields))  # Arrow passes find columns by plain names only
     got = likely.join(seen, "rid_", "left")
     seen_n, seen_log = F.coalesce("seen_", F.lit(0)), F.coalesce("rare_log_", F.lit(0.0))
     rare_log = seen_log - (F.col("n_rare_") - seen_n)  # log10(0.1) for each word never seen

@@ -79,7 +79,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_mixing, op4_quality, op5_toxicity, op6_nearest, op7_warc, op8_hmm, op9_secrets, op10_simhash, pipeline)}
 
-_WORDS = r"[^\x20\x09-\x0D]+"
+_BLANK = r"[\x20\x09-\x0D]"
+_SYMBOLS = "[^" + "".join(quality.SYMBOLS) + "]"
+_BOILER = " OR ".join(f"contains(low, '{p}')" for p in quality.BOILERPLATE)
+_NOT_WORD = r"[^\p{L}\p{N}_]"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": f"""
@@ -94,6 +97,39 @@ WITH d AS (
 )
 SELECT f.doc_id, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(s.prefix), f.depth, '0') END AS shard, f.depth AS depth, CAST(s.bytes AS BIGINT) AS shard_bytes, s.n AS shard_rows
 FROM f JOIN s ON s.depth = f.depth AND s.prefix = f.h >> (60 - f.depth)""",
+    "op4_quality": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, t, list_filter(string_split_regex(t, '{_BLANK}+'), lambda x : x <> '') AS w FROM d
+), b AS (
+  SELECT doc_id, t, len(w) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars, length(regexp_replace(t, '{_SYMBOLS}', '', 'g')) AS n_symbols FROM w
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)
+), h AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g
+), r AS (
+  SELECT doc_id, sum(step) AS n FROM (SELECT doc_id, least(5, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 5)) AS step FROM h WHERE c > 1) GROUP BY 1
+), l AS (
+  SELECT doc_id, line, lower(line) AS low, list_filter(string_split_regex(line, '{_BLANK}+'), lambda x : x <> '') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+), m AS (
+  SELECT doc_id, line, low, len(w) AS n, length(regexp_replace(line, '{_BLANK}', '', 'g')) AS chars, len(list_distinct(w)) AS kinds, list_max(list_transform(list_distinct(w), lambda x : len(list_filter(w, lambda y : y = x)))) AS most,
+    count(*) OVER (PARTITION BY doc_id, line) AS times, length(regexp_replace(line, '{_SYMBOLS}', '', 'g')) AS marks, length(regexp_replace(line, '[\p{{L}}\p{{N}}_\s\p{{Z}}\x0b\x1c-\x1f\x85]', '', 'g')) AS odd,
+    length(regexp_replace(line, '[^|»›·]', '', 'g')) AS bars FROM l WHERE len(w) > 0
+), f AS (
+  SELECT doc_id, n, (NOT contains(line, '|') AND marks > 0.12 * chars) OR odd > 0.3 * chars OR (n >= 8 AND regexp_matches(line, '\p{{Lu}}') AND NOT regexp_matches(line, '[\p{{Ll}}\p{{Lt}}]'))
+    OR (bars >= 3 AND bars > 0.15 * n) OR regexp_full_match(line, '(?i){_NOT_WORD}*{quality.NAVIGATION}({_NOT_WORD}+{quality.NAVIGATION})*{_NOT_WORD}*')
+    OR times > 2 OR {_BOILER} OR (n >= 8 AND kinds <= 1 + n * 0.5 AND most > 0.5 * n) AS fails FROM m
+), x AS (
+  SELECT doc_id, count(*) FILTER (WHERE fails) AS gone, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost FROM f GROUP BY 1
+), y AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM m GROUP BY 1
+), z AS (
+  SELECT b.doc_id, n_words, word_chars, n_symbols, coalesce(dup, 0) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone, 0) AS gone, CAST(coalesce(lost, 0) AS BIGINT) AS lost
+  FROM b LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.5 * n_words AS kept, gone AS n_lines_removed, lost AS n_words_removed FROM z""",
     "op7_warc": r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages

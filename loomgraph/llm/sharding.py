@@ -59,7 +59,7 @@ def shards(df: DataFrame, limit: int, key: Sequence[str] = ("doc_id",), size: Co
         raise ValueError("limit must be positive")
     size = F.octet_length(col(text)) if size is None else size
     cols = besides(key if keep is None else keep, OUTPUTS)
-    h, b, row, top = (fresh(c, cols) for c in ("hash_", "bytes_", "row_", "top_"))
+    h, b, row, top, t, c, found = (fresh(x, cols) for x in ("hash_", "bytes_", "row_", "top_", "known_top_", "known_cell_", "found_"))
     joined = F.concat_ws("\x1f", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in key])
     part = stored(df.select(*[col(c) for c in cols], hash60(joined).alias(h), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias(b), F.monotonically_increasing_id().alias(row)), "shard-rows")
     part = part.withColumn(top, F.lit(""))
@@ -68,13 +68,15 @@ def shards(df: DataFrame, limit: int, key: Sequence[str] = ("doc_id",), size: Co
         bits = least + CELL_BITS
         cells = stored(part.groupBy(F.col(top).alias("top"), _prefix(F.col(h), bits).alias("cell")).agg(F.sum(b).alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-cells")
         known = stored(_directory(cells, limit, least, bits), "shard-directory")
-        at = (F.col(top) == known["top"]) & (_prefix(F.col(h), bits) == known["cell"])
-        name = F.concat(known["top"], F.when(known["depth"] == 0, "").otherwise(F.lpad(F.bin(known["prefix"]), known["depth"], "0")))
-        done.append(part.join(known, at).select(*[col(c) for c in cols], name.alias("shard"), (known["depth"] + HASH_BITS * turn).cast("int").alias("depth"), known["bytes"].alias("shard_bytes"), known["n"].alias("shard_rows")))
-        over = stored(cells.join(known.select("top", "cell"), ["top", "cell"], "left_anti").select("top", "cell"), "shard-over")
+        over = stored(cells.join(known.select("top", "cell"), ["top", "cell"], "left_anti").select(F.col("top").alias(t), F.col("cell").alias(c)), "shard-over")
+        name = F.concat("top", F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), "0")))
+        bucket = F.struct(name.alias("name"), (F.col("depth") + HASH_BITS * turn).cast("int").alias("depth"), "bytes", "n").alias(found)
+        known = known.select(F.col("top").alias(t), F.col("cell").alias(c), bucket)
+        at = (F.col(top) == F.col(t)) & (_prefix(F.col(h), bits) == F.col(c))
+        done.append(part.join(known, at).select(*[col(x) for x in cols], F.col(f"{found}.name").alias("shard"), F.col(f"{found}.depth").alias("depth"), F.col(f"{found}.bytes").alias("shard_bytes"), F.col(f"{found}.n").alias("shard_rows")))
         if over.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        part, least = part.join(over, (F.col(top) == over["top"]) & (_prefix(F.col(h), bits) == over["cell"]), "left_semi"), bits
+        part, least = part.join(over, at, "left_semi"), bits
         if bits == HASH_BITS:  # whole hashes are equal: the next hash takes the row's number too
             part = part.withColumn(top, F.concat(F.col(top), F.lpad(F.bin(h), HASH_BITS, "0"), F.lit("+"))).withColumn(h, hash60(F.concat_ws("\x1f", top, row, b)))
             part, least, turn = stored(part, "shard-hot"), 0, turn + 1

@@ -280,11 +280,13 @@ class Coder:
         self.number = [str(i) for i in range(len(self.plain))]
         self.is_byte = np.array(self.pieces.kind) == BYTE
         self.memo: dict[str, tuple] = {}
+        self.short = False
 
     def learn(self, split: list[list[str]], short: bool) -> None:
         """Puts new words into the memo: their ids, or if short their number, the ids as text and the decoded text."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or short != self.short:
             self.memo.clear()
+            self.short = short
         new = list(set().union(*split).difference(self.memo))
         for a in range(0, len(new), 50_000):
             part = new[a : a + 50_000]

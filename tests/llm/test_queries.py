@@ -1,0 +1,160 @@
+"""The registered functions themselves: against SQL, brute force, or what they promise, on whole small tables."""
+
+import hashlib
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import ann, mixing, quality, queries, secrets
+
+SF = "/root/testdata/sf0.01"
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def plain(df):
+    return sorted([tuple(str(v) if not isinstance(v, float) else round(v, 6) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)], key=str)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    a, b = (plain(x.astype(object).where(x.notna(), None).map(lambda v: int(v) if isinstance(v, float) and v == int(v) else v)) for x in (got, want))
+    assert a == b
+
+
+def test_op3_keeps_the_shares_it_aims_at(spark):
+    got = queries.op3_mixing(spark, "/root/testdata/sf0.1").toPandas()
+    n = got.n_tokens.sum()
+    for d in ("source", "lang", "topic"):
+        share = got.groupby(d, dropna=False).n_tokens.sum() / n
+        goal = share**mixing.TEMPER
+        goal /= goal.sum()
+        weighted = (got.n_tokens * got.weight).groupby(got[d], dropna=False).sum() / n
+        assert np.allclose(weighted, goal, atol=1e-6)  # raking meets every marginal
+        kept = got[got.kept].groupby(d, dropna=False).n_tokens.sum() / got[got.kept].n_tokens.sum()
+        assert (kept - goal).abs().max() < 0.03  # and so does the sample
+    want = [int(hashlib.md5(f"{queries.MIX_SEED}:{k}".encode()).hexdigest()[:13], 16) / 2**52 for k in got.doc_id]
+    assert (got.kept == (np.array(want) < got.probability)).all()
+    assert np.allclose(got.probability, got.weight / got.weight[got.n_tokens > 0].max(), atol=1e-6)
+
+
+def plainly_kept(t):
+    """The verdict, written line by line without the operator's short cuts."""
+    r, w = quality.Rules(), words(t)
+    wins = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    repeat = len({k for i in range(len(w) - 4) if wins[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)})
+    if len(w) < 10 or 100 * repeat > 20 * len(w):
+        return False
+    lines = t.split("\n")
+    times, lost = Counter(lines), 0
+    nav = re.compile(rf"\W*(?:{quality.NAVIGATION})(?:\W+(?:{quality.NAVIGATION}))*\W*", re.I)
+    for line in lines:
+        v = words(line)
+        if not v:
+            continue
+        chars, n = sum(map(len, v)), len(v)
+        marks = sum(c in quality.SYMBOLS for c in line) if "|" not in line else 0
+        odd = sum(not (c.isalnum() or c == "_" or c.isspace()) for c in line)
+        bars = sum(c in "|»›·" for c in line)
+        fails = marks > r.symbol_share * chars or odd > r.punctuation_share * chars or (n >= 8 and line.isupper())
+        fails = fails or (bars >= 3 and bars > r.separator_share * n) or nav.fullmatch(line) is not None
+        fails = fails or times[line] > 2 or any(p in line.lower() for p in quality.BOILERPLATE)
+        fails = fails or (n >= 8 and len(set(v)) <= 1 + n * 0.5 and max(Counter(v).values()) > 0.5 * n)
+        lost += n * fails
+    return lost <= r.most_lost * len(w)
+
+
+def test_op4_verdicts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").text
+    got = queries.op4_quality(spark, SF).toPandas().set_index("doc_id")
+    wrong = [k for k, t in docs.items() if plainly_kept(t or "") != got.kept[k]]
+    assert not wrong
+    assert (got.n_words_removed <= got.n_words).all()
+    odd = quality.Judge(quality.Rules()).judge("\n".join(["one　two\x1cthree"] * 3 + ["plain words of a text that stays as it is"]))
+    assert odd[0] == 13 and odd[8] == 3
+
+
+def spans_by_rule(t):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return [s for *_, s in sorted(out)]
+
+
+def test_op9_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id").text
+    got = queries.op9_secrets(spark, SF).toPandas().set_index("doc_id")
+    for k, t in docs.items():
+        want, r = spans_by_rule(t or ""), got.loc[k]
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(x) for s in want) for x in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        found = [s for s in r.spans.split(",") if s]
+        assert [s for s in found if not s.startswith("model")] == want
+        assert all(0 <= int(s.split(":")[1]) < int(s.split(":")[2]) <= len(t) for s in found)
+
+
+def test_op9_finds_planted_keys_of_other_forms():
+    """In documents held out from everything: keys without a fixed rule's shape are found, plain documents left alone."""
+    docs = [t for t in pd.read_parquet("/root/testdata/sf0.1/documents.parquet").text if t and len(t) > 300][:1500]
+    rng = np.random.default_rng(21)
+    low, dig = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pick = lambda s, n: "".join(rng.choice(list(s), n))
+    forms = [lambda: "ghp_" + pick(low + low.upper() + dig, 36), lambda: "sk-" + pick(low + low.upper() + dig, 32), lambda: pick(low.upper() + dig, 20), lambda: pick(low + low.upper() + dig + "+/", 40), lambda: "xoxb-" + pick(dig, 12) + "-" + pick(low + low.upper() + dig, 24)]
+    scanner = secrets.Scanner(secrets.trained())
+    hit = alone = 0
+    for k, t in enumerate(docs):
+        clean = [x for x in scanner.spans([t])[0] if x[1] == "model"]
+        alone += not clean
+        key = forms[k % 5]()
+        at = t.index(" ", 100) + 1
+        planted = f"{t[:at]}{['', 'key: ', 'auth=', 'use ', 'bearer '][k // 5 % 5]}{key} {t[at:]}"
+        a = planted.index(key)
+        found = scanner.spans([planted])[0]
+        hit += any(kind == "model" and s <= a and e >= a + len(key) for s, kind, e in found)
+    assert hit > 0.9 * len(docs) and alone > 0.985 * len(docs)
+
+
+def clustered(n, dim=24, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(400, dim)) * 4
+    return (centres[rng.integers(0, 400, n)] + rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def recall(got, x, ids, k=10):
+    x, hit, total = x.astype(np.float64), 0, 0
+    for i in ids:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        best = set(np.argsort(d, kind="stable")[:k].tolist())
+        hit += len(best & set(got.vec_id[got.query_id == i]))
+        total += k
+    return hit / total
+
+
+def test_op6_answers_come_from_the_forest(spark):
+    x = clustered(24_000)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    asked = F.col("vec_id") % 400 == 0
+    got = ann.nearest(df, asked).toPandas()
+    assert recall(got, x, range(0, len(x), 400)) >= 0.9
+    assert got.groupby("query_id").size().eq(10).all()
+    assert got.n_distances.max() < 0.35 * len(x)  # far from a scan
+    # With fewer leaves to visit there are worse answers: nothing else finds them.
+    few = ann.nearest(df, asked, visit=1).toPandas()
+    assert few.groupby("query_id").size().eq(10).all() and few.n_distances.max() < 0.02 * len(x)
+    assert recall(few, x, range(0, len(x), 400)) < 0.8
