@@ -33,7 +33,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents"), seed=MIX_SEED, keep=["doc_id", "source", "lang"])
-    return got.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
+    return got.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _BLANK = r"[\x20\x09-\x0D]"
 _SYMBOLS = "[^" + "".join(quality.SYMBOLS) + "]"
 _BOILER = " OR ".join(f"contains(low, '{p}')" for p in quality.BOILERPLATE)
+_LEGAL = " OR ".join(f"contains(lower(t), '{x}')" for x in mixing.LEGAL)
+_LINKS = " OR ".join(f"contains(t, '{x}')" for x in mixing.LINKS)
+_DIMENSIONS = ("source", "lang", "topic")
+_GOALS = ", ".join(f"pow(sum(n) OVER (PARTITION BY {d}) / sum(n) OVER (), {mixing.TEMPER}) AS p_{d}" for d in _DIMENSIONS)
+#: Each step fits one dimension; a hundred rounds are far more than the weights need to settle to six digits.
+_SHARE = "CASE i % 3 " + " ".join(f"WHEN {k} THEN g_{d} * whole / nullif(sum(w * n) OVER (PARTITION BY {d}), 0)" for k, d in enumerate(_DIMENSIONS)) + " END"
 _NOT_WORD = r"[^\p{L}\p{N}_]"
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,6 +103,28 @@ WITH d AS (
 )
 SELECT f.doc_id, CASE WHEN f.depth = 0 THEN '' ELSE lpad(bin(s.prefix), f.depth, '0') END AS shard, f.depth AS depth, CAST(s.bytes AS BIGINT) AS shard_bytes, s.n AS shard_rows
 FROM f JOIN s ON s.depth = f.depth AND s.prefix = f.h >> (60 - f.depth)""",
+    "op3_mixing": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents
+), x AS (
+  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, CASE WHEN length(t) < 200 THEN 'note' WHEN {_LEGAL} THEN 'legal'
+    WHEN {_LINKS} OR regexp_matches(t, '[A-Za-z0-9._-]@[A-Za-z0-9-]+[.][a-z]') THEN 'contact' WHEN regexp_matches(t, '[{{}};=]') THEN 'code' ELSE 'prose' END AS topic FROM d
+), c AS (
+  SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM x GROUP BY ALL
+), p AS (
+  SELECT *, sum(n) OVER () AS whole, {_GOALS} FROM c
+), v AS (
+  SELECT (SELECT sum(a) FROM (SELECT DISTINCT source, p_source AS a FROM p)) AS s_source, (SELECT sum(a) FROM (SELECT DISTINCT lang, p_lang AS a FROM p)) AS s_lang, (SELECT sum(a) FROM (SELECT DISTINCT topic, p_topic AS a FROM p)) AS s_topic
+), r AS (
+  SELECT 0 AS i, source, lang, topic, n, whole, p_source / s_source AS g_source, p_lang / s_lang AS g_lang, p_topic / s_topic AS g_topic, CAST(1 AS DOUBLE) AS w FROM p, v
+  UNION ALL
+  SELECT i + 1, source, lang, topic, n, whole, g_source, g_lang, g_topic, w * coalesce({_SHARE}, 1) FROM r WHERE i < 300
+), f AS (
+  SELECT source, lang, topic, w, least(1, w / max(w) FILTER (WHERE n > 0) OVER ()) AS q FROM r WHERE i = 300
+)
+SELECT x.doc_id, x.source, x.lang, x.topic, x.n_tokens, round(w, 6) AS weight, round(q, 6) AS probability,
+  CAST('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(x.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < q AS kept
+FROM x JOIN f ON f.source IS NOT DISTINCT FROM x.source AND f.lang IS NOT DISTINCT FROM x.lang AND f.topic = x.topic""",
     "op4_quality": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
