@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Characters of text that a Python worker holds as Python objects at once.
 SLICE_BYTES = 1 << 20
 #: Entries after which a worker's memo of words is emptied.
-MEMO = 400_000
+MEMO = 200_000
 #: A key is hot from so many rows on, or from a MOST_HOT-th of all rows if that is more: so at most MOST_HOT keys are.
 HOT_ROWS, MOST_HOT = 10_000, 100_000
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import SLICE_BYTES, col, map_texts
+from loomgraph.llm.common import col, fresh, map_texts
 
 #: Fixed rules: group 2 or the whole match must have so many characters.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -339,25 +339,16 @@ def redact(df: DataFrame, net: Network | None = None, text: str = "text") -> Dat
 
     from pyspark.sql import functions as F
 
-    @F.pandas_udf(T.StringType())
-    def clean(column):
-        import pandas as pd
+    masked = fresh("masked_", df.columns)
 
-        texts, out, at = column.tolist(), [], 0
+    def make():
         scanner = Scanner(shared.value)
-        while at < len(texts):  # a slice of about SLICE_BYTES characters at once
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < SLICE_BYTES):
-                size += len(texts[stop] or "")
-                stop += 1
-            full = [t or "" for t in texts[at:stop]]
-            out += [t if not f else redacted(s, f) for t, s, f in zip(texts[at:stop], full, scanner.spans(full), strict=True)]
-            at = stop
-        return pd.Series(out, dtype=object)
+        return lambda texts: [[redacted(t, f) if f else t for t, f in zip(texts, scanner.spans(texts), strict=True)]]
 
+    got = map_texts(df, make, [T.StructField(masked, T.StringType())], text, df.columns, keep_text=True)
+    got = got.select(*[F.when(col(c).isNotNull(), F.col(masked)).alias(c) if c.lower() == text.lower() else col(c) for c in df.columns])
     chars = next((c for c in df.columns if c.lower() == "n_chars"), None)
-    masked = df.select(*[clean(col(c)).alias(c) if c.lower() == text.lower() else col(c) for c in df.columns])
     if chars is None:
-        return masked
-    kind = masked.select(chars).schema[0].dataType
-    return masked.withColumn(chars, F.when(col(text).isNull(), col(chars)).otherwise(F.length(col(text))).cast(kind))
+        return got
+    kind = got.select(chars).schema[0].dataType
+    return got.withColumn(chars, F.when(col(text).isNull(), col(chars)).otherwise(F.length(col(text))).cast(kind))

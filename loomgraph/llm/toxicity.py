@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import col, crc, map_texts, stored
+from loomgraph.llm.common import MEMO, col, crc, map_texts, stored
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 SAMPLE = 24_000
@@ -138,7 +138,7 @@ class Scorer:
         try:
             return np.array([memo[w] for w in words])
         except KeyError:
-            if len(memo) > 300_000:
+            if len(memo) > MEMO // 2:
                 memo.clear()
             for w in set(words).difference(memo):
                 memo[w] = self.token(w)
