@@ -1,5 +1,5 @@
 """Registered queries: importing the package fills registry.QUERIES and registry.ORACLE_SQL."""
 
-from loomgraph.plans import knowledge, registry
+from loomgraph.plans import assessment, knowledge, registry
 
-__all__ = ["knowledge", "registry"]
+__all__ = ["assessment", "knowledge", "registry"]

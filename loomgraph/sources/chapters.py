@@ -95,9 +95,9 @@ def chunked(chapters: DataFrame, book: str = "book_id", at: str = "chapter", tit
 
 def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of a JSON manifest; none if it is missing or broken."""
+    rows = T.ArrayType(T.StructType.fromDDL(schema))
     try:
-        rows = spark.read.schema(f"{schema}, broken_ string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken_").json(path)
-        return rows.where("broken_ is null").drop("broken_")
+        return spark.read.text(path, wholetext=True).select(F.inline(F.from_json("value", rows)))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
