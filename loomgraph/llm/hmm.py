@@ -6,8 +6,8 @@ class a word has its smoothed share of the class, and one share is left for all
 tokens add up to one.
 
 Counts cover all training rows: words first, then Baum-Welch counts, which every task gathers over its rows and Spark
-adds up across partitions. The first WARM rounds each take another WARM_SHARE-th of the training rows, the others all of
-them, until the likelihood of a token settles. Nothing is learnt on the driver but the maximisation, of bounded size.
+adds up across partitions. The first rounds take parts of the training rows, up to a quarter of them (WARM), the others all
+of them, until the likelihood of a token settles. Nothing is learnt on the driver but the maximisation, of bounded size.
 
 Texts are turned into symbols once; rounds and scores read those. Recursions are exact for texts of any length: one of
 more than CHUNK tokens is cut into pieces, the product of each piece's transition matrices carries forward and backward
@@ -39,9 +39,10 @@ EMITTED = 65_536
 #: Classes of the words without an emission of their own: a power of two, so many distinct words a class at most, while there are MOST_CLASSES at most.
 WORDS_A_CLASS, LEAST_CLASSES, MOST_CLASSES = 256, 64, 1 << 16
 STATES = 8
-WARM, WARM_SHARE = 6, 16
+#: The first rounds take such parts of the training rows, ever larger ones: a sixteenth, ..., a quarter.
+WARM = (16, 16, 16, 16, 8, 8, 4)
 #: Rounds over all training rows at most, and the gain in nats a token under which no further one is run.
-ROUNDS, SETTLED = 5, 0.006
+ROUNDS, SETTLED = 2, 0.006
 #: The corpus shares count as so many tokens of each state, and as these parts of a state's mean tokens (in the first rounds, in the others).
 PRIOR_TOKENS, WARM_PRIOR, PRIOR = 20.0, 0.5, 0.05
 CHUNK = 768
@@ -346,14 +347,15 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.int32) for x in column]
 
 
-def train(model: Model, parts: DataFrame, warm: int = WARM, rounds: int = ROUNDS) -> list[float]:
+def train(model: Model, parts: DataFrame, warm: Sequence[int] = WARM, rounds: int = ROUNDS) -> list[float]:
     """Baum-Welch rounds over the symbols of parts; the model changes in place. Returns the log-likelihood a token before each round."""
     spark, track = parts.sparkSession, []
     schema = "symbol long, n double, ll double, " + ", ".join(f"s{k} float" for k in range(STATES))
     src = parts.select("symbols_", "rid_")
-    for turn in range(warm + rounds):
+    for turn in range(len(warm) + rounds):
         shared = spark.sparkContext.broadcast(model.slim())
-        some = src.where(F.pmod(F.xxhash64("rid_"), F.lit(WARM_SHARE)) == turn) if turn < warm else src
+        first = turn < len(warm)
+        some = src.where(F.pmod(F.xxhash64("rid_"), F.lit(warm[turn])) == turn % warm[turn]) if first else src
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m, sums, ll, n, held, size = shared.value, None, 0.0, 0, [], 0
@@ -391,8 +393,8 @@ def train(model: Model, parts: DataFrame, warm: int = WARM, rounds: int = ROUNDS
         whole = np.zeros((model.symbols + STATES + 1, STATES))
         whole[np.where(symbol < 0, model.symbols - 1 - symbol, symbol)] = table
         track.append(float(added["ll"].to_numpy().sum() / added["n"].to_numpy().sum()))
-        model.learn(whole[model.symbols], whole[model.symbols + 1 :], whole[: model.symbols], WARM_PRIOR if turn < warm else PRIOR)
-        if turn > warm and len(track) > 1 and track[-1] - track[-2] < SETTLED:
+        model.learn(whole[model.symbols], whole[model.symbols + 1 :], whole[: model.symbols], WARM_PRIOR if first and warm[turn] > 8 else PRIOR)
+        if not first and len(track) > 1 and track[-1] - track[-2] < SETTLED:
             break
     return track
 

@@ -261,7 +261,7 @@ def test_baum_welch_is_exact_across_pieces(texts):
 def test_likelihood_grows_round_by_round(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model, _ = hmm.base_model(docs)
-    track = hmm.train(model, hmm.encoded(docs, model), warm=0, rounds=5)
+    track = hmm.train(model, hmm.encoded(docs, model), warm=(), rounds=5)
     assert len(track) > 2 and all(b > a - 1e-3 for a, b in zip(track, track[1:], strict=False))
 
 
