@@ -40,7 +40,7 @@ EMITTED = 65_536
 WORDS_A_CLASS, LEAST_CLASSES, MOST_CLASSES = 256, 64, 1 << 16
 STATES = 8
 #: The first rounds take such parts of the training rows, ever larger ones: a sixteenth, ..., a quarter.
-WARM = (16, 16, 16, 16, 8, 8, 4)
+WARM = (16, 8, 8, 4)
 #: Rounds over all training rows at most, and the gain in nats a token under which no further one is run.
 ROUNDS, SETTLED = 2, 0.006
 #: The corpus shares count as so many tokens of each state, and as these parts of a state's mean tokens (in the first rounds, in the others).
