@@ -10,10 +10,12 @@ What the fixed rules find is always a finding; the network adds each span that t
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 import string
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -237,7 +239,13 @@ def paths(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
 
 
 def trained(n: int = N_FINDINGS, seed: int = 5) -> Network:
-    """The network of this module: the same on every run for the same n and seed. Trained and limited on what a scan shows it."""
+    """The network of this module: the same on every run for the same n and seed, trained once in a process. A copy, so that it may be changed."""
+    return copy.deepcopy(_trained(n, seed))
+
+
+@lru_cache(maxsize=4)
+def _trained(n: int, seed: int) -> Network:
+    """Trained, calibrated and limited on what a scan shows it."""
     codes, labels, part, of, secret = [], [], [], [], []
     rows = [(t, a, b, a, b if y else a) for t, a, b, y in findings(n, seed)] + paths(n // 4, seed + 20)
     for k, (t, a, b, c, d) in enumerate(rows):
