@@ -22,7 +22,7 @@ def narrative_order(ordinal: Column, local: Column) -> Column:
     return (ordinal * 100 + F.least(local, F.lit(99))).cast("long")
 
 
-def folded(rows: DataFrame, key: str, order: Sequence[str], start: Callable[[], object], step: Callable, finish: Callable, schema: str) -> DataFrame:
+def folded(rows: DataFrame, key: str, order: Sequence[str | Column], start: Callable[[], object], step: Callable, finish: Callable, schema: str) -> DataFrame:
     """One row for each key by a sequential fold over its rows in order.
 
     Rows are dealt out and sorted by Spark and stream through; a task holds one key's state, however many rows the key has.
@@ -36,7 +36,7 @@ def folded(rows: DataFrame, key: str, order: Sequence[str], start: Callable[[],
             out = []
             for r in b.itertuples(index=False):
                 k = getattr(r, key)
-                if not held or k != now:
+                if not held or (k != now and (k == k or now == now)):  # nulls are one key, as elsewhere in SQL
                     if held:
                         out.append(finish(now, state))
                     now, state, held = k, start(), True
@@ -112,23 +112,31 @@ def unit_specs(segments: DataFrame, members: DataFrame) -> DataFrame:
     return got.select("book_id", "unit_id", "title", "first", "last", F.when(F.col("unit_id") == start, WHOLE).otherwise(BOUNDED).alias("confidence"), "world")
 
 
-def states(events: DataFrame, key: str = "subject") -> DataFrame:
+def states(events: DataFrame, key: str = "subject", opening: Callable[[list], list] = list) -> DataFrame:
     """key, through_event, place, goal, states, source_events: what is known of each subject after its last event, in story order.
 
-    events: key, event_id, story_order, place, goal, changes (array). The last place and goal that were said stay; of the
-    changes the last STATES different ones, of the events the last SOURCES.
+    events: key, event_id, story_order (null: last), place, goal, changes (array; nulls count for nothing). The last place
+    and goal that were said stay; of the changes the last STATES different ones, of the events the last SOURCES. Of events
+    without a subject only the first counts, as others may be another's. opening: the order in which the changes of a
+    subject's first event are kept; it decides which are forgotten first.
     """
 
     def step(s, r):
+        k, first = getattr(r, key), not s["events"]
+        if not first and (k is None or k != k):
+            return s
+        said = [c for c in r.changes if c is not None] if r.changes is not None else []
         have = s["states"]
-        for c in r.changes if r.changes is not None else ():
+        for c in opening(said) if first else said:
             if c not in have:
                 have.append(c)
-        return {"through": r.event_id, "place": s["place"] if pd.isna(r.place) else r.place, "goal": r.goal if isinstance(r.goal, str) and r.goal else s["goal"], "states": have[-STATES:], "events": [*s["events"], int(r.event_id)][-SOURCES:]}
+        goal = r.goal if isinstance(r.goal, str) and (r.goal or first) else s["goal"]
+        return {"through": r.event_id, "place": s["place"] if pd.isna(r.place) else r.place, "goal": goal, "states": have[-STATES:], "events": [*s["events"], int(r.event_id)][-SOURCES:]}
 
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(key, "event_id", "story_order", "place", "goal", "changes")
-    return folded(rows, key, ["story_order", "event_id"], lambda: {"place": None, "goal": "", "states": [], "events": [], "through": None}, step, lambda k, s: (k, s["through"], s["place"], s["goal"], s["states"], s["events"]), f"{key} {kind}, through_event long, place string, goal string, states array<string>, source_events array<long>")
+    order = [F.col("story_order").asc_nulls_last(), "event_id"]
+    return folded(rows, key, order, lambda: {"place": None, "goal": None, "states": [], "events": [], "through": None}, step, lambda k, s: (k, s["through"], s["place"], s["goal"], s["states"], s["events"]), f"{key} {kind}, through_event long, place string, goal string, states array<string>, source_events array<long>")
 
 
 def threads(events: DataFrame, book: str = "book_id") -> DataFrame:

@@ -3,11 +3,13 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import parsing
 from loomgraph.operators import assess, ledger, narrative, scope
+from loomgraph.plans.registry import ORACLE_SQL, QUERIES
 from loomgraph.sources import chapters, importers
 from loomgraph.streaming import activity
 
@@ -121,6 +123,19 @@ def test_states_keep_twelve(spark):
     assert r.states == [f"s{k}" for k in range(3, 14)] + ["s0"] and (r.place, r.goal, r.through_event) == ("p", "g", 21) and len(r.source_events) == 16
 
 
+def test_memory_states_match_sql_on_odd_events(spark, sf, tmp_path):
+    """Pairs that a subject's first event leaves on the edge of its memory; events without subject, time, kind or k."""
+    con = duckdb.connect()
+    odd = {"user_id": "event_id % 37 = 5", "ts": "event_id % 41 = 3", "event_type": "event_id % 43 = 7", "props": "event_id % 47 = 9"}
+    cols = ", ".join(f"CASE WHEN {when} THEN NULL ELSE {c} END AS {c}" for c, when in odd.items())
+    drawn = """SELECT event_id + i * 1000 AS event_id, ts, user_id + i * 15 AS user_id, event_type, value, '{"k": ' || hash(event_id, i) % 100 || '}' AS props"""
+    con.execute(f"COPY (SELECT * REPLACE ({cols}) FROM ({drawn} FROM '{sf}/events.parquet', range(40) t(i))) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    df = QUERIES["memory_states"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL['memory_states']})").fetchall()
+    assert got(df) == sorted(want, key=str) and len(want) == 601
+
+
 def test_units_need_a_title_and_disjoint_people(spark):
     segments = spark.createDataFrame([("b", k, t) for k, t in enumerate(["One", "Two", "Chapter 3", "Four", None])], "book_id string, ordinal int, title string")
     members = spark.createDataFrame([("b", 0, 1), ("b", 1, 2), ("b", 2, 3), ("b", 3, 3)], "book_id string, ordinal int, entity_id int")
