@@ -14,20 +14,36 @@ from pyspark.sql import functions as F
 ROUNDS, SPRING, APART, NEAR = 120, 180.0, 118.0, 230.0
 #: Places are pushed away only by others within this distance, found by a grid.
 REACH = 430.0
-
-
-def _pairs(at: np.ndarray, reach: float) -> np.ndarray:
-    """(k, 2) index pairs i < j that are at most reach apart, by cells of that size."""
-    cells: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y) in enumerate(np.floor(at / reach).astype(int).tolist()):
-        cells.setdefault((x, y), []).append(i)
-    out = []
-    for (x, y), here in cells.items():
-        near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((x + dx, y + dy), ())]
-        out += [(i, j) for i in here for j in near if i < j]
-    p = np.array(out, int).reshape(-1, 2)
-    d = at[p[:, 0]] - at[p[:, 1]]
-    return p[(d * d).sum(1) <= reach * reach]
+#: Pairs of places whose distances are held at once.
+CANDIDATES = 1_000_000
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, reach: float) -> list[np.ndarray]:
+    """i, j, x[i] - x[j], y[i] - y[j] of pairs i < j at most reach apart, by cells of that size; in order of i's cell, i, j's cell, j."""
+    cx, cy = (np.floor(v / reach).astype(np.int64) for v in (x, y))
+    wide = int(np.ptp(cy)) + 3
+    cells, first, own = np.unique((cx - cx.min()) * wide + cy - cy.min(), return_index=True, return_inverse=True)
+    members = np.argsort(own, kind="stable")  # by cell, then index
+    begin = np.r_[0, np.cumsum(np.bincount(own))]
+    around = cells[:, None] + (np.array([-1, 0, 1])[:, None] * wide + np.array([-1, 0, 1])).ravel()
+    k = np.minimum(np.searchsorted(cells, around), len(cells) - 1)
+    size = np.where(cells[k] == around, begin[k + 1] - begin[k], 0)
+    left = np.argsort(first[own], kind="stable")  # cells as they come
+    total = np.cumsum(size.sum(1)[own[left]])
+    out, a = [], 0
+    while a < len(left):  # about CANDIDATES pairs at a time
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CANDIDATES)))
+        i, n = left[a:b], size[own[left[a:b]]]
+        flat = n.ravel()
+        j = members[np.arange(flat.sum()) + np.repeat(begin[k[own[i]]].ravel() - np.cumsum(flat) + flat, flat)]
+        i = np.repeat(i, n.sum(1))
+        kept = np.flatnonzero(i < j)
+        i, j = i[kept], j[kept]
+        dx, dy = x[i] - x[j], y[i] - y[j]
+        kept = np.flatnonzero(dx * dx + dy * dy <= reach * reach)
+        out.append([v[kept] for v in (i, j, dx, dy)])
+        a = b
+    return out[0] if len(out) == 1 else [np.concatenate(v) for v in zip(*out, strict=True)]
 
 
 def positions(n: int, springs: np.ndarray, near: np.ndarray | None = None) -> np.ndarray:
@@ -36,54 +52,56 @@ def positions(n: int, springs: np.ndarray, near: np.ndarray | None = None) -> np
     The same input always gives the same positions. near: pairs that end at most NEAR apart, where the least distance
     allows it.
     """
+    if not n:
+        return np.zeros((0, 2))
     k = np.arange(n)
-    at = np.c_[np.cos(k * 2.399963229728653), np.sin(k * 2.399963229728653)] * (92 * np.sqrt(k + 1))[:, None]
+    x, y = np.cos(k * 2.399963229728653) * (92 * np.sqrt(k + 1)), np.sin(k * 2.399963229728653) * (92 * np.sqrt(k + 1))
+    a, b = springs.T if len(springs) else np.zeros((2, 0), int)
     for r in range(ROUNDS):
-        move = np.zeros_like(at)
-        p = _pairs(at, REACH)
-        d = at[p[:, 0]] - at[p[:, 1]]
-        size = np.maximum(np.hypot(d[:, 0], d[:, 1]), 1.0)[:, None]
-        push = d / size * (SPRING * SPRING / size) * 0.05
-        np.add.at(move, p[:, 0], push)
-        np.subtract.at(move, p[:, 1], push)
-        if len(springs):
-            d = at[springs[:, 0]] - at[springs[:, 1]]
-            size = np.maximum(np.hypot(d[:, 0], d[:, 1]), 1.0)[:, None]
-            pull = d / size * (size - SPRING) * 0.12
-            np.subtract.at(move, springs[:, 0], pull)
-            np.add.at(move, springs[:, 1], pull)
-        most = 60.0 * (1 - r / ROUNDS) + 1
-        size = np.maximum(np.hypot(move[:, 0], move[:, 1]), 1e-9)[:, None]
-        at += move / size * np.minimum(size, most)
+        i, j, dx, dy = _pairs(x, y, REACH)
+        size = np.maximum(np.hypot(dx, dy), 1.0)
+        push = SPRING * SPRING / size
+        sx, sy = x[a] - x[b], y[a] - y[b]
+        long = np.maximum(np.hypot(sx, sy), 1.0)
+        at = np.concatenate([i, j, a, b])
+        parts = [(d / size * push * 0.05, s / long * (long - SPRING) * 0.12) for d, s in ((dx, sx), (dy, sy))]
+        mx, my = (np.bincount(at, np.concatenate([p, -p, -q, q]), n) for p, q in parts)
+        size = np.maximum(np.hypot(mx, my), 1e-9)
+        step = np.minimum(size, 60.0 * (1 - r / ROUNDS) + 1)
+        x, y = x + mx / size * step, y + my / size * step
     for _ in range(400):
         moved = False
-        for i, j in () if near is None else near.tolist():
-            d = at[j] - at[i]
-            size = math.hypot(*d)
-            if size > NEAR:
-                at[j] -= d / size * (size - NEAR)
-                moved = True
-        p = _pairs(at, APART)
-        d = at[p[:, 0]] - at[p[:, 1]]
-        size = np.hypot(d[:, 0], d[:, 1])
-        close = size < APART - 1e-6
-        if close.any():
-            p, d, size = p[close], d[close], size[close]
+        if near is not None and len(near) and (np.hypot(x[near[:, 1]] - x[near[:, 0]], y[near[:, 1]] - y[near[:, 0]]) > NEAR - 1e-6).any():
+            xs, ys = x.tolist(), y.tolist()
+            for i, j in near.tolist():  # one after another: pairs share places
+                dx, dy = xs[j] - xs[i], ys[j] - ys[i]
+                size = math.hypot(dx, dy)
+                if size > NEAR:
+                    xs[j] -= dx / size * (size - NEAR)
+                    ys[j] -= dy / size * (size - NEAR)
+                    moved = True
+            x, y = np.array(xs), np.array(ys)
+        i, j, dx, dy = _pairs(x, y, APART)
+        size = np.hypot(dx, dy)
+        close = np.flatnonzero(size < APART - 1e-6)
+        if len(close):
+            i, j, dx, dy, size = i[close], j[close], dx[close], dy[close], size[close]
             flat = size < 1e-9
-            d[flat], size[flat] = (1.0, 0.0), 1.0
-            step = d / size[:, None] * ((APART - np.where(flat, 0.0, size)) / 2 + 0.5)[:, None]
-            np.add.at(at, p[:, 0], step)
-            np.subtract.at(at, p[:, 1], step)
+            dx[flat], dy[flat], size[flat] = 1.0, 0.0, 1.0
+            step = (APART - np.where(flat, 0.0, size)) / 2 + 0.5
+            at = np.concatenate([k, i, j])
+            x, y = (np.bincount(at, np.concatenate([v, d / size * step, -(d / size * step)]), n) for v, d in ((x, dx), (y, dy)))
             moved = True
         if not moved:
             break
-    return at
+    return np.c_[x, y]
 
 
 def layout(places: DataFrame, relations: DataFrame, book: str = "book_id") -> DataFrame:
     """book, place_id, x, y of every place. places: book, place_id. relations: book, a, b, kind (near, or other springs).
 
-    Relations with an end that isn't a place of the book, or with equal ends, have no effect.
+    Relations with an end that isn't a place of the book, or with equal ends, have no effect. Books are dealt out to as
+    many tasks as shuffles have partitions: their rows are few, their work isn't, so tasks aren't joined by size.
     """
 
     def run(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -95,7 +113,9 @@ def layout(places: DataFrame, relations: DataFrame, book: str = "book_id") -> Da
         return pd.DataFrame({book: p[book].iloc[0] if ids else None, "place_id": ids, "x": xy[:, 0], "y": xy[:, 1]})
 
     kind = places.schema[book].dataType.simpleString()
-    return places.groupBy(book).cogroup(relations.groupBy(book)).applyInPandas(run, f"{book} {kind}, place_id long, x double, y double")
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [df.repartition(n, book).groupBy(book) for df in (places, relations)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(run, f"{book} {kind}, place_id long, x double, y double")
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

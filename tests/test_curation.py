@@ -24,6 +24,21 @@ def test_layout_keeps_places_apart_and_repeats():
     assert (a == b).all() and np.isfinite(a).all() and d.min() >= layout.APART - 1
 
 
+def test_pairs_are_those_of_brute_force(monkeypatch):
+    x, y = np.random.default_rng(3).normal(0, 700, (2, 900))
+    far = np.hypot(x[:, None] - x, y[:, None] - y)
+    monkeypatch.setattr(layout, "CANDIDATES", 5000)
+    i, j, dx, dy = layout._pairs(x, y, 200.0)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a, b in np.argwhere(far <= 200.0).tolist() if a < b]
+    assert (dx == x[i] - x[j]).all() and (dy == y[i] - y[j]).all()
+
+
+def test_books_are_laid_out_in_several_tasks(spark):
+    places = spark.range(60).select((F.col("id") % 12).alias("book_id"), F.col("id").alias("place_id"))
+    none = spark.createDataFrame([], "book_id long, a long, b long, kind string")
+    assert layout.layout(places, none).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_near_places_are_near():
     at = layout.positions(12, np.zeros((0, 2), int), np.array([(0, 11)]))
     assert math.hypot(*(at[0] - at[11])) <= layout.NEAR + 1
