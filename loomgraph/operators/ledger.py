@@ -129,13 +129,24 @@ def prompts(rules: DataFrame, bundle: str = "bundle") -> DataFrame:
 
 
 def prices(usage: DataFrame, table: DataFrame) -> DataFrame:
-    """usage (provider, model, at) with the price in force: the model's last one by then, else its provider's (model '*'), else null."""
-    last = lambda name: F.max_by("price", "from_at").alias(name)
-    u = usage.withColumn("u_", F.monotonically_increasing_id())
-    hit = u.join(table.select("provider", F.col("model").alias("m_"), "from_at", "price"), "provider", "left").where("m_ is null or ((m_ = model or m_ = '*') and from_at <= at)")
-    own = hit.where("m_ = model").groupBy("u_").agg(last("own_"))
-    rest = hit.where("m_ = '*'").groupBy("u_").agg(last("any_"))
-    return u.join(own, "u_", "left").join(rest, "u_", "left").withColumn("price", F.coalesce("own_", "any_")).drop("u_", "own_", "any_")
+    """usage (provider, model, at) with the price in force: the model's last one by then, else its provider's (model '*'), else null.
+
+    table: provider, model, from_at, price; null prices count for nothing, of prices from one time the highest does. Each
+    different (provider, model, at) is priced once, by one pass over its key's times and prices in order: no use meets a
+    price but its own.
+    """
+    cols = ["provider", "model", "at"]
+    listed = table.where("provider is not null and model is not null and from_at is not null and price is not null").select("provider", "model", F.col("from_at").alias("at"), F.col("price").alias("p_"))
+
+    def priced(points: DataFrame, by: DataFrame, keys: list[str], name: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("at", "asks_", "p_").rowsBetween(Window.unboundedPreceding, 0)
+        rows = points.withColumn("asks_", F.lit(1)).unionByName(by.withColumn("asks_", F.lit(0)), allowMissingColumns=True)
+        return rows.withColumn(name, F.last("p_", ignorenulls=True).over(w)).where("asks_ = 1").drop("asks_", "p_")
+
+    points = priced(usage.select(*cols).dropDuplicates(), listed, ["provider", "model"], "own_")
+    points = priced(points, listed.where("model = '*'").drop("model"), ["provider"], "any_")
+    points = points.select(*[F.col(c).alias(f"{c}_") for c in cols], F.coalesce("own_", "any_").alias("price"))
+    return usage.join(points, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in cols]), "left").drop(*[f"{c}_" for c in cols])
 
 
 def resolved_updates(proposals: DataFrame, books: DataFrame) -> DataFrame:

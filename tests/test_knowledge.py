@@ -136,6 +136,18 @@ def test_memory_states_match_sql_on_odd_events(spark, sf, tmp_path):
     assert got(df) == sorted(want, key=str) and len(want) == 601
 
 
+def test_prices_in_force_are_the_last_known_ones(spark):
+    """A null price hides none before it; uses without provider, model or time; equal uses stay; many prices of one key."""
+    listed = [("p", "m", 5, 1.0), ("p", "m", 9, None), ("p", "*", 3, 7.0), ("p", "*", 3, 6.0), ("p", "n", None, 2.0), (None, "m", 1, 3.0), ("p", None, 1, 4.0), ("q", "*", 8, 5.0)]
+    uses = [(1, "p", "m", 4), (2, "p", "m", 5), (3, "p", "m", 12), (4, "p", "x", 2), (5, "p", None, 9), (6, None, "m", 9), (7, "p", "m", None), (8, "q", "m", 7), (9, "p", "m", 12), (10, "q", "*", 8)]
+    table = spark.createDataFrame(listed, "provider string, model string, from_at long, price double")
+    out = ledger.prices(spark.createDataFrame(uses, "id long, provider string, model string, at long"), table)
+    assert {r.id: r.price for r in out.collect()} == {1: 7.0, 2: 1.0, 3: 1.0, 4: None, 5: 7.0, 6: None, 7: None, 8: None, 9: 1.0, 10: 5.0}
+    many = spark.range(200_000).select(F.lit("p").alias("provider"), F.lit("m").alias("model"), F.col("id").alias("from_at"), F.col("id").cast("double").alias("price"))
+    used = spark.range(200_000).select(F.lit("p").alias("provider"), F.lit("m").alias("model"), (F.col("id") * 7 % 200_000).alias("at"))
+    assert ledger.prices(used, many).where("price = at").count() == 200_000  # 40 billion pairs of one key
+
+
 def test_units_need_a_title_and_disjoint_people(spark):
     segments = spark.createDataFrame([("b", k, t) for k, t in enumerate(["One", "Two", "Chapter 3", "Four", None])], "book_id string, ordinal int, title string")
     members = spark.createDataFrame([("b", 0, 1), ("b", 1, 2), ("b", 2, 3), ("b", 3, 3)], "book_id string, ordinal int, entity_id int")
