@@ -3,6 +3,9 @@
 import io
 import zipfile
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -132,3 +135,20 @@ def test_packing_keeps_batches_within_the_limit(sizes):
     spark = SparkSession.getActiveSession()
     if spark is not None and len(sizes) < 3:  # a few go through Spark
         assert spark.range(1).select(views.packed(F.array(*[F.lit(s).cast("long") for (s,) in sizes]), 400).alias("b")).first().b == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_role_conflicts_are_counted_in_place(spark, monkeypatch, kind):
+    """Large events: no pair is shuffled, and the pairs are those of the plain way, whatever the blocks and tiles."""
+    rng = np.random.default_rng(5)
+    rows = [(int(e), int(i), [None, "a", "b", "c"][r]) for e, i, r in zip(rng.integers(0, 9, 3000), rng.integers(0, 300, 3000), rng.integers(0, 4, 3000), strict=True)] + [(None, 1, "a"), (1, None, "a")]
+    p = spark.createDataFrame(rows, "event_id long, entity_id long, role string").withColumn("entity_id", F.col("entity_id").cast(kind))
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", 700)
+    whole = resolve.role_conflicts(p)
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    got, want = (sorted(map(tuple, df.collect())) for df in (whole, resolve.role_conflicts(p, pairs=1e9)))
+    assert got == want and len(got) > 10_000
+    held = pa.table({"side": [2] * 40, "e": [k % 3 for k in range(40)], "id": list(range(40)), "one": ["ab"[k % 2] for k in range(40)]})
+    monkeypatch.setattr(resolve, "TILE", 7)
+    tiles = {(min(a, b), max(a, b)): n for t in resolve._tiles(held) for a, b, n in zip(*[c.to_pylist() for c in t.columns], strict=True)}
+    assert tiles == {(a, b): 1 for a in range(40) for b in range(a + 1, 40) if a % 3 == b % 3 and a % 2 != b % 2}
