@@ -30,8 +30,8 @@ def lookup(names: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Events are met pair by pair up to so many pairs a participant on average; beyond, pairs are counted in place.
 PAIRS = 64
-#: Participants of a block of entities, entities of a tile of counts, rows of a batch that is returned.
-BLOCK_ROWS, TILE, BATCH = 1_000_000, 2048, 65_536
+#: Participants of a block of entities, least number of blocks, entities of a tile of counts, rows of a batch that is returned.
+BLOCK_ROWS, BLOCKS, TILE, BATCH = 1_000_000, 6, 1024, 65_536
 
 
 def role_conflicts(participants: DataFrame, event: str = "event_id", entity: str = "entity_id", role: str = "role", block: int = 256, pairs: float = PAIRS) -> DataFrame:
@@ -46,7 +46,7 @@ def role_conflicts(participants: DataFrame, event: str = "event_id", entity: str
     sizes = p.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
     size = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("met")).first()
     if size.n and size.met > pairs * size.n:
-        return _counted(p, -(-size.n // BLOCK_ROWS))
+        return _counted(p, max(BLOCKS, -(-size.n // BLOCK_ROWS)))
     p = p.join(sizes.withColumn("n", F.ceil(F.col("n") / block).cast("int")), "e")
     own = F.pmod(F.xxhash64("id"), F.col("n").cast("long")).cast("int")
     l = p.select("e", F.col("id").alias("left_id"), F.col("low").alias("ll"), F.col("high").alias("lh"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
